@@ -22,6 +22,7 @@ alike; empty tables give empty results; only doc_id and text are read.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestrata.llm.common import in_arrow, steps, text_docs
 
 MAX_TRANSITIONS = 600_000
-MAX_PIECES = 300_000
+MAX_PIECES = 250_000
 #: A vocabulary file above this isn't broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -216,15 +217,20 @@ class Utf8Stream:
 
 
 class _Pieces(dict):
-    """piece -> ids; filled as pieces come, emptied when large."""
+    """piece -> ids; filled as pieces come. When large, what it holds steps back a generation and what was there goes."""
 
     def __init__(self, transducer: Transducer) -> None:
         self.transducer = transducer
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         if len(self) > MAX_PIECES:
+            self.older = dict(self)
             self.clear()
-        self[piece] = ids = self.transducer.encode(piece.encode())
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.transducer.encode(piece.encode())
+        self[piece] = ids
         return ids
 
 
@@ -256,6 +262,7 @@ def _digests(ranks, pattern: str, keep_ids: bool):
     schema = pa.schema([*fields, *([("ids", pa.list_(pa.int32()))] if keep_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the caches are many small objects without cycles
         codec = Codec(ranks.value, pattern)
         names = [str(i) for i in range(len(codec.bytes_of))]
         for doc_ids, texts in steps(batches):
