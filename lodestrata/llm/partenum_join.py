@@ -16,7 +16,7 @@ makes the argument exact; ranges are only left out in that case.
 Sets that are equal collapse to one representative before anything is compared.
 Within a bucket (one signature) every member is compared with the smallest
 member; buckets whose members are then still in different components are
-compared pair by pair across components. No bucket is capped.
+compared across components, in blocks (see ``_late_links``). No bucket is capped.
 
 Edge cases: null and blank texts have empty sets, ``n_shingles`` 0, and link with
 nothing, not even each other; texts with fewer words than a shingle have one
@@ -44,6 +44,11 @@ from lodestrata.llm.hashing import hashed_words, mix, shingles
 
 #: Largest size of a band over its smallest.
 BAND_RATIO = 1.4
+#: A block of a cluster holds at most so many sets, and so many shingles unless it is one set.
+BLOCK_SETS = 256
+BLOCK_ITEMS = 256 * 1024
+#: Shingles whose columns are multiplied at once.
+COLUMNS = 4096
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("sigs", pa.list_(pa.int64()))])
 _SETS = pa.schema([("h", pa.int64()), ("was", pa.int64()), ("n", pa.int64()), ("items", pa.list_(pa.int64()))])
 
@@ -149,6 +154,66 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("c", common).where(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * percent).select("a", "b")
 
 
+def _late_links(spark: SparkSession, open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): components that links between members of open buckets join.
+
+    Members that share buckets form a cluster. A cluster is laid out in blocks of
+    bounded size, by component; each two blocks that hold more than one component
+    and whose sizes are near enough are compared in one task as a whole, so what
+    moves grows with members times blocks, and only links come out.
+    """
+    cluster = components(spark, open_.select(F.col("c").alias("a"), F.col("h").alias("b"))).toDF("h", "cluster")
+    members = open_.select("h", "root").distinct().join(cluster, "h").join(sets.select("h", "n"), "h")
+    members = members.withColumn("block", F.expr(f"(sum(n + {BLOCK_ITEMS // BLOCK_SETS}) over (partition by cluster order by root, h rows unbounded preceding)) div {BLOCK_ITEMS}"))
+    members = settle(spark, members)
+    blocks = members.groupBy("cluster", "block").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+    one, two = blocks.toDF("cluster", "i", "r0", "r1", "n0", "n1"), blocks.toDF("cluster", "j", "s0", "s1", "m0", "m1")
+    pairs = one.join(two, "cluster").where(f"i <= j and not (r0 = r1 and s0 = s1 and r0 = s0) and n1 * 100 >= m0 * {percent} and m1 * 100 >= n0 * {percent}").select("cluster", "i", "j")
+    pairs = settle(spark, pairs)
+    sides = pairs.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    work = sides.join(members.drop("n"), ["cluster", "block"]).join(sets.select("h", "items"), "h").select("cluster", "i", "j", "h", "root", "items")
+    return work.groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "a long, b long").distinct()
+
+
+def _block_links(percent: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(group: pa.Table) -> pa.Table:
+        roots, lists = group.column("root").to_pylist(), group.column("items").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        sizes = np.diff(lists.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        _, column, df = np.unique(lists.values.to_numpy()[lists.offsets[0].as_py() :][: len(owner)], return_inverse=True, return_counts=True)
+        shared = df[column] > 1
+        number = np.cumsum(df > 1) - 1
+        owner, column = owner[shared], number[column[shared]]
+        common = np.zeros((len(sizes), len(sizes)), dtype=np.float32)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for begin in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
+            x, y = np.searchsorted(column, (begin, begin + COLUMNS))
+            part = np.zeros((len(sizes), COLUMNS), dtype=np.float32)
+            part[owner[x:y], column[x:y] - begin] = 1
+            common += part @ part.T
+        linked = np.triu(common * 100 >= (sizes[:, None] + sizes[None, :] - common) * percent, 1)
+        parent = {r: r for r in roots}
+
+        def top(r: int) -> int:
+            while parent[r] != r:
+                r = parent[r]
+            return r
+
+        found = []
+        for x, y in zip(*np.nonzero(linked), strict=True):
+            a, b = top(roots[x]), top(roots[y])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                found.append((roots[x], roots[y]))
+        return pa.Table.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], schema=schema)
+
+    return run
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
     docs = text_docs(docs)
@@ -162,14 +227,15 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, per
     sets = stash(spark, sets, "sets")
     links = stash(spark, _verified(star, sets, percent), "links")
     root = components(spark, links)
-    placed = shared.join(root.withColumnRenamed("node", "h"), "h", "left").select("sig", "h", F.coalesce("root", "h").alias("root"))
-    open_ = placed.withColumn("least", F.expr("min(root) over (partition by sig)")).withColumn("most", F.expr("max(root) over (partition by sig)")).where("least < most").select("sig", "h", "root")
-    open_ = stash(spark, open_, "open")
-    left, right = open_.toDF("sig", "a", "ra"), open_.toDF("sig", "b", "rb")
-    pairs = left.join(right, "sig").where("a < b and ra != rb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    late = settle(spark, _verified(pairs, sets, percent))
+    placed = shared.join(root.withColumnRenamed("node", "h"), "h", "left").select("sig", "h", "c", F.coalesce("root", "h").alias("root"))
+    open_ = placed.withColumn("least", F.expr("min(root) over (partition by sig)")).withColumn("most", F.expr("max(root) over (partition by sig)")).where("least < most").select("h", "c", "root")
+    open_ = stash(spark, open_.distinct(), "open")
+    late = stash(spark, _late_links(spark, open_, sets, percent), "late")
     if not late.isEmpty():
-        root = components(spark, links.unionByName(late))
+        nodes = root.select("root").union(late.select("a")).union(late.select("b")).distinct()
+        wider = nodes.join(components(spark, late).toDF("root", "wide"), "root", "left").select("root", F.coalesce("wide", "root").alias("wide"))
+        of_node = root.unionByName(nodes.select(F.col("root").alias("node"), "root")).distinct()
+        root = settle(spark, of_node.join(wider, "root").select("node", F.col("wide").alias("root")))
     named = sketch.select("doc_id", "n", "h").join(root.withColumnRenamed("node", "h"), "h", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "h")).alias("root"))
     first = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(first, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
