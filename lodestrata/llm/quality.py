@@ -44,10 +44,12 @@ MAX_BROADCAST_LANGUAGES = 5000
 _LETTERS = [chr(0x100 + i) for i in range(len(COMMON))]
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the counts of the base rules, and both histograms, one narrow row per document."""
+def measures(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, lang, the counts of the base rules, and both histograms, one narrow row per document; with ``carry`` the whole row too."""
     text = F.coalesce("text", F.lit(""))
-    df = docs.select("doc_id", "lang", text.alias("text"))
+    row = [F.struct(*docs.columns).alias("row")] * carry
+    df = docs.select(*row, "doc_id", "lang", text.alias("text"))
+    row = ["row"] * carry
     df = df.withColumn("words", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
     df = df.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     rest = F.regexp_replace("text", "[a-z]+", "")
@@ -58,7 +60,7 @@ def measures(docs: DataFrame) -> DataFrame:
     classes = F.array(size["text"] - size["r1"], size["r2"] - size["r3"], size["r4"] - size["r5"], size["r1"] - size["r2"], size["r3"] - size["r4"], size["r5"] - size["r6"], size["r6"])
     windows = F.expr("if(size(words) < 3, array(), slice(transform(words, (x, i) -> xxhash64(x, get(words, i + 1), get(words, i + 2))), 1, greatest(size(words) - 2, 0)))")
     df = df.select(
-        "doc_id", "lang", F.size("words").cast("long").alias("n_words"), (size["text"] - (size["r1"] - size["r2"])).alias("word_chars"), (size["r3"] - size["r4"]).alias("n_symbols"),
+        *row, "doc_id", "lang", F.size("words").cast("long").alias("n_words"), (size["text"] - (size["r1"] - size["r2"])).alias("word_chars"), (size["r3"] - size["r4"]).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), classes.alias("classes"), windows.alias("windows"),
         F.filter(F.transform("words", F.lower), lambda w: w.isin(COMMON)).alias("common"),
     )
@@ -71,7 +73,7 @@ def measures(docs: DataFrame) -> DataFrame:
     repeated = F.expr("coalesce(aggregate(transform(twice, (x, i) -> least(3, coalesce(get(twice, i + 1) - x, 3))), 0L, (a, x) -> a + x), 0L)")
     n_coded = F.length("coded")
     counts = F.array(*((n_coded - F.length(F.replace("coded", F.lit(c), F.lit("")))).cast("long") for c in _LETTERS), F.col("n_words") - n_coded)
-    return df.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"), "classes", counts.alias("commons"))
+    return df.select(*row, "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"), "classes", counts.alias("commons"))
 
 
 def _distance(own: str, reference: str) -> Column:
@@ -89,16 +91,26 @@ def references(measured: DataFrame) -> DataFrame:
     return measured.groupBy("lang").agg(sums("classes", len(CLASSES)), sums("commons", len(COMMON) + 1), F.sum("n_words").alias("ref_words"))
 
 
-def judged(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, min_reference: int = MIN_REFERENCE, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """The measures of each document with class_distance, word_distance, base_failed and kept."""
-    measured = stash(spark, measures(docs), "quality")
-    refs = references(measured).withColumnRenamed("lang", "ref_lang")
-    refs = stash(spark, refs, "references")
+def verdicts(spark: SparkSession, measured: DataFrame, refs: DataFrame, min_words: int, min_reference: int, max_class: float, max_word: float) -> DataFrame:
+    """``measured`` with class_distance, word_distance, base_failed and kept."""
+    refs = stash(spark, refs.withColumnRenamed("lang", "ref_lang"), "references")
     few = refs.count() <= MAX_BROADCAST_LANGUAGES
     df = measured.join(F.broadcast(refs) if few else refs, measured.lang.eqNullSafe(refs.ref_lang), "left")
-    # a class or word that the language itself hardly has weighs as the measure says; nothing is smoothed
     df = df.withColumn("class_distance", _distance("classes", "ref_classes")).withColumn("word_distance", _distance("commons", "ref_commons"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     guarded = (F.col("n_words") < min_words) | (F.col("ref_words") < min_reference)
     far = (F.col("class_distance") > max_class) | (F.col("word_distance") > max_word)
-    return df.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & (guarded | ~F.coalesce(far, F.lit(False)))).alias("kept"), "class_distance", "word_distance")
+    return df.withColumn("base_failed", base).withColumn("kept", ~base & (guarded | ~F.coalesce(far, F.lit(False))))
+
+
+def judged(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, min_reference: int = MIN_REFERENCE, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
+    """The measures of each document with class_distance, word_distance, base_failed and kept."""
+    measured = stash(spark, measures(docs), "quality")
+    df = verdicts(spark, measured, references(measured), min_words, min_reference, max_class, max_word)
+    return df.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+
+
+def kept_rows(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, min_reference: int = MIN_REFERENCE, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
+    """The rows of ``docs`` that the rules keep. Texts are measured twice, which is cheaper than moving them."""
+    df = verdicts(spark, measures(docs, carry=True), references(measures(docs)), min_words, min_reference, max_class, max_word)
+    return df.where("kept").select("row.*")

@@ -33,6 +33,12 @@ def op4_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.suffix_dedup import deduplicated
+
+    return deduplicated(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm.partenum_join import jaccard_components
 
