@@ -111,6 +111,8 @@ def judged(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, min
 
 
 def kept_rows(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, min_reference: int = MIN_REFERENCE, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """The rows of ``docs`` that the rules keep. Texts are measured twice, which is cheaper than moving them."""
-    df = verdicts(spark, measures(docs, carry=True), references(measures(docs)), min_words, min_reference, max_class, max_word)
+    """The rows of ``docs`` that the rules keep. Rows are written beside their measures once, so texts are measured
+    once and a filter on the verdict isn't pushed into, and repeated over, the measuring expressions."""
+    measured = stash(spark, measures(docs, carry=True), "measured")
+    df = verdicts(spark, measured, references(measured), min_words, min_reference, max_class, max_word)
     return df.where("kept").select("row.*")
