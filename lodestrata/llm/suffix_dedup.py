@@ -29,6 +29,7 @@ table gives an empty result; only doc_id and text are read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -44,8 +45,11 @@ from lodestrata.llm.loser_tree import front_coded, merged_front_coded
 SPAN, GRAM = 50, 20
 WINDOW = SPAN - GRAM + 1
 #: Anchors that one packed group should hold; groups grow in number with the input, not in size.
-GROUP_ANCHORS = 3_000_000
-GROUP_SUFFIXES = 400_000
+GROUP_ANCHORS = 800_000
+GROUP_SUFFIXES = 120_000
+#: What a task holds before it sends a run.
+RUN_ANCHORS = 1_200_000
+RUN_SUFFIXES = 200_000
 _NO_ID = 2**63 - 1
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -121,7 +125,7 @@ def _send_hashes(n_buckets: int):
             held.append((h, own + len(keys)))
             keys += [ids[i] for i in fresh]
             size += len(h)
-            if size > 4_000_000:
+            if size > RUN_ANCHORS:
                 yield send()
                 size = 0
         if size:
@@ -157,6 +161,7 @@ def _send_suffixes(n_buckets: int, n_groups: int):
     schema = pa.schema([("place", pa.int32()), *((n, pa.binary()) for n in ("lcps", "lengths", "rest", "lefts", "left", "texts", "at", "keys", "owners"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # many small objects without cycles
         held: list[list[tuple]] = [[] for _ in range(n_groups)]
         size = 0
 
@@ -186,7 +191,7 @@ def _send_suffixes(n_buckets: int, n_groups: int):
                 for p, g in zip(at, group, strict=True):
                     held[g].append((text[p : p + SPAN], text[max(0, p - WINDOW + 1) : p], t, owner, p))
                 size += len(at)
-                if size > 600_000:
+                if size > RUN_SUFFIXES:
                     yield from send()
                     size = 0
         yield from send()
@@ -243,6 +248,7 @@ def _ranges(members: list[tuple[bytes, tuple]], out: dict[int, list[tuple[int, i
 
 
 def _merge_group(group: pa.Table) -> pa.Table:
+    gc.disable()
     schema = pa.schema([("t", pa.int64()), ("ranges", pa.binary())])
     out: dict[int, list[tuple[int, int]]] = {}
     members: list[tuple[bytes, tuple]] = []
