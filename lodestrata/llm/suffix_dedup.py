@@ -134,9 +134,52 @@ def _send_hashes(n_buckets: int):
     return run
 
 
-def _survivors(group: pa.Table) -> pa.Table:
-    """Of one bucket, per text: the hashes that another text has too."""
-    schema = pa.schema([("t", pa.int64()), ("bucket", pa.int32()), ("hashes", pa.binary())])
+_PACKED = pa.schema([("home", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("items", pa.binary())])
+_PACKED_DDL = "home int, keys binary, counts binary, items binary"
+
+
+def _packed(t: np.ndarray, items: np.ndarray, n_homes: int) -> pa.Table:
+    """A row per home of texts: their keys, how many items each has, and the items (rows of 8-byte numbers)."""
+    home = (mix(t.view(np.uint64)) >> np.uint64(32)) * np.uint64(n_homes) >> np.uint64(32)
+    order = np.lexsort((t, home))
+    t, items, home = t[order], items[order], home[order]
+    rows = []
+    edges = np.searchsorted(home, np.arange(n_homes + 1, dtype=np.uint64))
+    for h in range(n_homes):
+        a, b = edges[h], edges[h + 1]
+        if a < b:
+            keys, counts = np.unique(t[a:b], return_counts=True)
+            rows.append((h, keys.tobytes(), counts.astype(np.uint32).tobytes(), items[a:b].tobytes()))
+    columns = [list(c) for c in zip(*rows, strict=True)] or [[], [], [], []]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED, strict=True)], schema=_PACKED)
+
+
+def _unpack(width: int):
+    """Of one home: per text all its items of ``width`` numbers."""
+    schema = pa.schema([("t", pa.int64()), ("items", pa.binary())])
+
+    def run(group: pa.Table) -> pa.Table:
+        columns = [group.column(c).to_pylist() for c in ("keys", "counts", "items")]
+        t = np.concatenate([np.repeat(np.frombuffer(k, np.int64), np.frombuffer(n, np.uint32)) for k, n in zip(columns[0], columns[1], strict=True)])
+        items = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, width) for x in columns[2]])
+        order = np.argsort(t, kind="stable")
+        texts, first = np.unique(t[order], return_index=True)
+        items, ends = items[order], [*first[1:].tolist(), len(t)]
+        return pa.Table.from_arrays([pa.array(texts), pa.array([items[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=False)], pa.binary())], schema=schema)
+
+    return run
+
+
+def _survivors(n_homes: int):
+    """Of one bucket, per text: the hashes (bucket in the upper half) that another text has too."""
+
+    def run(group: pa.Table) -> pa.Table:
+        return _shared_hashes(group, n_homes)
+
+    return run
+
+
+def _shared_hashes(group: pa.Table, n_homes: int) -> pa.Table:
     hashes, keys = [], []
     for low, owners, table in zip(*(group.column(c).to_pylist() for c in ("hashes", "owners", "keys")), strict=True):
         low, table = np.frombuffer(low, np.uint32), np.frombuffer(table, np.int64)
@@ -149,12 +192,8 @@ def _survivors(group: pa.Table) -> pa.Table:
     shared = np.minimum.reduceat(t, first) != np.maximum.reduceat(t, first)
     keep = np.repeat(shared, np.diff(np.concatenate((first, [len(h)]))))
     h, t = h[keep], t[keep]
-    order = np.argsort(t, kind="stable")
-    h, t = h[order], t[order]
-    texts, first = np.unique(t, return_index=True)
-    ends = [*first[1:].tolist(), len(t)][: len(texts)]
-    bucket = group.column("bucket")[0].as_py()
-    return pa.Table.from_arrays([pa.array(texts), pa.array([bucket] * len(texts), pa.int32()), pa.array([h[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary())], schema=schema)
+    bucket = np.uint64(group.column("bucket")[0].as_py() << 32)
+    return _packed(t, (h.astype(np.uint64) | bucket).reshape(-1, 1), n_homes)
 
 
 def _send_suffixes(n_buckets: int, n_groups: int):
@@ -181,9 +220,9 @@ def _send_suffixes(n_buckets: int, n_groups: int):
                 held[place] = []
 
         for batch in batches:
-            for t, owner, text, lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for t, owner, text, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = text.encode() if isinstance(text, str) else text
-                wanted = np.concatenate([np.frombuffer(x["hashes"], np.uint32).astype(np.uint64) | np.uint64(x["bucket"] << 32) for x in lists])
+                wanted = np.frombuffer(items, np.uint64)
                 _, at, h = anchors([text])
                 short = (h & np.uint64(0xFFFFFFFF)) | (_bucket(h, n_buckets) << np.uint64(32))
                 alive = np.isin(short, wanted)
@@ -247,9 +286,17 @@ def _ranges(members: list[tuple[bytes, tuple]], out: dict[int, list[tuple[int, i
                 own += [(p - o, p - o + SPAN) for o in hit]
 
 
-def _merge_group(group: pa.Table) -> pa.Table:
+def _merge_group(n_homes: int):
+    """Of one group of prefixes, per text: the ranges to remove."""
+
+    def run(group: pa.Table) -> pa.Table:
+        return _merged_ranges(group, n_homes)
+
+    return run
+
+
+def _merged_ranges(group: pa.Table, n_homes: int) -> pa.Table:
     gc.disable()
-    schema = pa.schema([("t", pa.int64()), ("ranges", pa.binary())])
     out: dict[int, list[tuple[int, int]]] = {}
     members: list[tuple[bytes, tuple]] = []
     suffix = b""
@@ -262,7 +309,9 @@ def _merge_group(group: pa.Table) -> pa.Table:
         members.append((suffix, payload))
     if len(members) > 1:
         _ranges(members, out)
-    return pa.Table.from_arrays([pa.array(list(out), pa.int64()), pa.array([np.array(joined(r), np.int64).tobytes() for r in out.values()], pa.binary())], schema=schema)
+    rows = [(t, a, b) for t, r in out.items() for a, b in joined(r)]
+    table = np.array(rows, dtype=np.int64).reshape(-1, 3)
+    return _packed(np.ascontiguousarray(table[:, 0]), np.ascontiguousarray(table[:, 1:]).view(np.uint64), n_homes)
 
 
 def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -282,9 +331,9 @@ def _cut(keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for t, text, lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for t, text, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = text.encode() if isinstance(text, str) else text
-                ranges = joined([tuple(r) for x in lists for r in np.frombuffer(x, np.int64).reshape(-1, 2).tolist()])
+                ranges = joined([tuple(r) for r in np.frombuffer(items, np.int64).reshape(-1, 2).tolist()])
                 kept, last = [], 0
                 for a, b in ranges:
                     kept.append(text[last:a])
@@ -311,15 +360,14 @@ def deduplicated(spark: SparkSession, docs: DataFrame, keep_text: bool = False)
     size = base.agg(F.sum("n_bytes")).first()[0] or 0
     n_buckets = max(1, -(-size // 14 // GROUP_ANCHORS))
     sent = in_arrow(docs.where(F.octet_length("text") >= SPAN).select("t", "text"), _send_hashes(n_buckets), "bucket int, hashes binary, owners binary, keys binary")
-    alive = sent.groupBy("bucket").applyInArrow(_survivors, "t long, bucket int, hashes binary")
-    alive = alive.groupBy("t").agg(F.collect_list(F.struct("bucket", "hashes")).alias("alive"), F.sum(F.octet_length("hashes")).alias("size"))
+    alive = sent.groupBy("bucket").applyInArrow(_survivors(n_buckets), _PACKED_DDL).groupBy("home").applyInArrow(_unpack(1), "t long, items binary")
     alive = stash(spark, alive, "alive")
-    n_groups = max(1, -(-(alive.agg(F.sum("size")).first()[0] or 0) // 4 // GROUP_SUFFIXES))
-    firsts = alive.drop("size").join(owner, "t")
+    n_groups = max(1, -(-(alive.agg(F.sum(F.octet_length("items"))).first()[0] or 0) // 8 // GROUP_SUFFIXES))
+    firsts = alive.withColumnRenamed("items", "alive").join(owner, "t")
     texts = docs.select("doc_id", "t", "text").join(firsts, "t").where(F.col("doc_id").eqNullSafe(F.col("owner"))).select("t", F.coalesce("owner", F.lit(_NO_ID)).alias("owner"), "text", "alive")
     texts = stash(spark, texts, "sources")  # rows that repeat id and text give equal ranges twice, which joined() unites
     runs = in_arrow(texts, _send_suffixes(n_buckets, n_groups), "place int, lcps binary, lengths binary, rest binary, lefts binary, left binary, texts binary, at binary, keys binary, owners binary")
-    ranges = runs.groupBy("place").applyInArrow(_merge_group, "t long, ranges binary").groupBy("t").agg(F.collect_list("ranges").alias("ranges"))
+    ranges = runs.groupBy("place").applyInArrow(_merge_group(n_buckets), _PACKED_DDL).groupBy("home").applyInArrow(_unpack(2), "t long, items binary")
     cut = in_arrow(texts.select("t", "text").join(ranges, "t"), _cut(keep_text), "t long, n_removed long, n_spans long, kept string" + ", kept_text string" * keep_text).dropDuplicates(["t"])
     df = base.join(owner, "t", "left").join(cut, "t", "left")
     copy = F.col("owner").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("owner"))) & (F.col("n_bytes") >= SPAN)
