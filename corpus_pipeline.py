@@ -3,11 +3,13 @@ benchmark passages, token ids. Each stage works on all its predecessor kept."""
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.bpe_fst import encoded
-from lodestrata.llm.common import stash, table
+from lodestrata.llm.common import MADE, drop_stashes, stash, table
 from lodestrata.llm.decontaminate import contaminated
 from lodestrata.llm.partenum_join import jaccard_components
 from lodestrata.llm.quality import kept_rows
@@ -15,13 +17,32 @@ from lodestrata.llm.suffix_dedup import deduplicated, text_key
 
 #: The iterated statistics of the stages can't be put in SQL; the tests hold them against brute force.
 ORACLE_SQL = None
+_before: list[str] = []
+
+
+def staged(stage):
+    """A stage's result is written before the next stage is called, so what a stage wrote on its way goes then."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_stashes(spark, _before)
+        _before.clear()
+        made = len(MADE)
+        df = stage(spark, docs, sf_dir)
+        _before.extend(MADE[made:])
+        del MADE[made:]
+        return df
+
+    return run_stage
 
 
+@staged
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the base rules or the divergence from their language reject go."""
     return kept_rows(spark, docs)
 
 
+@staged
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at a Jaccard similarity of 0.8 or more the smallest doc_id stays.
     Rows with null doc_id stay."""
@@ -29,6 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
+@staged
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Text loses the bytes of 50-byte strings that start in a document of smaller doc_id; a text can become empty."""
     changed = deduplicated(spark, docs, keep_text=True).where("n_removed > 0").select("doc_id", "t", "kept_text").dropDuplicates(["doc_id", "t"]).toDF("own_id", "own_t", "own_text")
@@ -39,12 +61,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return joined.select(*(values.get(c, F.col(c)) for c in docs.columns))
 
 
+@staged
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item's question and answer go."""
     gone = contaminated(spark, docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
+@staged
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every text, their digest, and that of the decoded bytes."""
     import public_tokenizers

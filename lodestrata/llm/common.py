@@ -37,10 +37,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Paths that ``stash`` wrote, so that callers who know that they are done with them can drop them.
+MADE: list[str] = []
+
+
+def drop_stashes(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes written tables through Spark's file systems."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def stash(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes ``df`` as Parquet in the shared folder and reads it again."""
     path = f"{shared_dir(spark).rstrip('/')}/lodestrata/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
