@@ -49,7 +49,8 @@ BLOCK_SETS = 256
 BLOCK_ITEMS = 256 * 1024
 #: Shingles whose columns are multiplied at once.
 COLUMNS = 4096
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h", pa.int64())])
+_SIGNED = pa.schema([("h", pa.int64()), ("sig", pa.int64())])
 _SETS = pa.schema([("h", pa.int64()), ("was", pa.int64()), ("n", pa.int64()), ("items", pa.list_(pa.int64()))])
 
 
@@ -112,24 +113,35 @@ def _digest(items: np.ndarray) -> int:
         return int(mix(np.array([mix(items).sum(dtype=np.uint64) + np.uint64(len(items))], dtype=np.uint64)).view(np.int64)[0])
 
 
-def sketches(width: int, percent: int):
+def sketches(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in steps(batches):
+            words, at = hashed_words(texts)
+            items = [shingles(words[at[i] : at[i + 1]], width) for i in range(len(ids))]
+            yield batch_of(_SKETCH, [ids, [len(s) for s in items], [_digest(s) for s in items]])
+
+    return run
+
+
+def _signed(width: int, percent: int):
+    """A row for each signature of a set. They are made again rather than kept: they outweigh the texts."""
     lows = bands()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a task sends the signatures of equal sets once
         for ids, texts in steps(batches):
             words, at = hashed_words(texts)
-            ns, hs, sigs = [], [], []
+            hs, sigs = [], []
             for i in range(len(ids)):
                 items = shingles(words[at[i] : at[i + 1]], width)
                 h = _digest(items)
-                ns.append(len(items))
-                hs.append(h)
-                sigs.append(items[:0] if h in seen else signatures(items, lows, percent))
-                seen.add(h)
-            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sigs]))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs).view(np.int64)))
-            yield batch_of(_SKETCH, [ids, ns, hs, lists])
+                if h not in seen:
+                    seen.add(h)
+                    hs.append(h)
+                    sigs.append(signatures(items, lows, percent))
+            if hs:
+                owner = np.repeat(np.array(hs, dtype=np.int64), [len(s) for s in sigs])
+                yield batch_of(_SIGNED, [pa.array(owner), pa.array(np.concatenate(sigs).view(np.int64))])
 
     return run
 
@@ -217,9 +229,9 @@ def _block_links(percent: int):
 def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
     docs = text_docs(docs)
-    sketch = stash(spark, in_arrow(docs, sketches(width, percent), "doc_id long, n long, h long, sigs array<long>"), "sketch")
-    exploded = sketch.select("h", F.explode("sigs").alias("sig")).withColumn("c", F.expr("min(h) over (partition by sig)")).withColumn("m", F.expr("max(h) over (partition by sig)"))
-    shared = stash(spark, exploded.where("c < m").select("sig", "h", "c"), "shared")
+    sketch = stash(spark, in_arrow(docs, sketches(width), "doc_id long, n long, h long"), "sketch")
+    signed = in_arrow(docs, _signed(width, percent), "h long, sig long").withColumn("c", F.expr("min(h) over (partition by sig)")).withColumn("m", F.expr("max(h) over (partition by sig)"))
+    shared = stash(spark, signed.where("c < m").select("sig", "h", "c"), "shared")
     star = shared.where("h != c").select(F.col("c").alias("a"), F.col("h").alias("b")).distinct()
     wanted = sketch.join(shared.select("h").distinct(), "h").groupBy("h").agg(F.min("doc_id").alias("doc_id"))
     again = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id)).select("h", "text")
