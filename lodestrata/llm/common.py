@@ -6,6 +6,7 @@ folder named by ``spark.checkpoint.dir`` through Spark's own writers.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -57,6 +58,13 @@ def stash(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of finished steps: it does so once the driver's garbage collectors have seen
+    that nothing refers to them, which on an idle driver can take long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def settle(spark: SparkSession, df: DataFrame) -> DataFrame:
     """A reliable checkpoint; for small tables in loops."""
     shared_dir(spark)
@@ -107,12 +115,42 @@ def total_bytes(df: DataFrame, column: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 
 
+#: Nodes that a task contracts at once.
+FOREST_NODES = 200_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) to edges (node, smallest node it meets here): the same components, paths of one step."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    def stars() -> pa.RecordBatch:
+        found = [(x, top(x)) for x in list(parent)]
+        found = [(x, r) for x, r in found if x != r]
+        parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(a), top(b)
+            parent[max(a, b)] = min(a, b)
+        if len(parent) > FOREST_NODES:
+            yield stars()
+    yield stars()
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges(a, b)``; root is the smallest node reachable.
+    """(node, root) for every node of ``edges(a, b)``, longs; root is the smallest node reachable.
 
-    Min-label exchange with pointer jumping, a checkpoint a round; rounds grow
-    with the logarithm of the longest path, state is one row per node.
+    Each task first contracts the edges it has; then min-label exchange with pointer
+    jumping, a checkpoint a round; rounds grow with the logarithm of the longest
+    path, state is one row per node.
     """
+    edges = edges.select("a", "b").where("a != b").mapInArrow(_forest, "a long, b long")
     both = settle(spark, edges.select("a", "b").where("a != b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
     labels = settle(spark, both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
     while True:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import batch_of, components, in_arrow, settle, stash, steps, text_docs
+from lodestrata.llm.common import batch_of, components, in_arrow, release, settle, stash, steps, text_docs
 from lodestrata.llm.hashing import hashed_words, mix, shingles
 
 #: Largest size of a band over its smallest.
@@ -232,11 +232,14 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, per
     sketch = stash(spark, in_arrow(docs, sketches(width), "doc_id long, n long, h long"), "sketch")
     signed = in_arrow(docs, _signed(width, percent), "h long, sig long").withColumn("c", F.expr("min(h) over (partition by sig)")).withColumn("m", F.expr("max(h) over (partition by sig)"))
     shared = stash(spark, signed.where("c < m").select("sig", "h", "c"), "shared")
+    del signed
+    release(spark)
     star = shared.where("h != c").select(F.col("c").alias("a"), F.col("h").alias("b")).distinct()
     wanted = sketch.join(shared.select("h").distinct(), "h").groupBy("h").agg(F.min("doc_id").alias("doc_id"))
     again = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id)).select("h", "text")
     sets = in_arrow(again, _sets(width), "h long, was long, n long, items array<long>").where("h = was and n > 0").drop("was").dropDuplicates(["h"])
     sets = stash(spark, sets, "sets")
+    release(spark)
     links = stash(spark, _verified(star, sets, percent), "links")
     root = components(spark, links)
     placed = shared.join(root.withColumnRenamed("node", "h"), "h", "left").select("sig", "h", "c", F.coalesce("root", "h").alias("root"))
