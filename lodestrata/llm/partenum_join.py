@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import batch_of, components, in_arrow, release, settle, stash, steps, text_docs
+from lodestrata.llm.common import batch_of, components, empty, in_arrow, release, settle, stash, steps, text_docs
 from lodestrata.llm.hashing import hashed_words, mix, shingles
 
 #: Largest size of a band over its smallest.
@@ -49,7 +49,7 @@ BLOCK_SETS = 256
 BLOCK_ITEMS = 256 * 1024
 #: Shingles whose columns are multiplied at once.
 COLUMNS = 4096
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h", pa.int64())])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("par", pa.binary())])
 _SIGNED = pa.schema([("h", pa.int64()), ("sig", pa.int64())])
 _SETS = pa.schema([("h", pa.int64()), ("was", pa.int64()), ("n", pa.int64()), ("items", pa.list_(pa.int64()))])
 
@@ -108,6 +108,24 @@ def signatures(items: np.ndarray, lows: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else items[:0]
 
 
+def parities(items: np.ndarray) -> bytes:
+    """For each residue of the elements, whether an odd number has it; about a fiftieth of the set's size.
+
+    Sets differ in at least as many elements as these bits do, so a pair whose bits differ
+    too much can't link. Moduli are powers of two, so the longer of two folds to the shorter.
+    """
+    m = 1 << max(6, (len(items) - 1).bit_length())
+    odd = np.bincount((items & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(rows: np.ndarray, words: int) -> np.ndarray:
+    while rows.shape[1] > words:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
 def _digest(items: np.ndarray) -> int:
     with np.errstate(over="ignore"):
         return int(mix(np.array([mix(items).sum(dtype=np.uint64) + np.uint64(len(items))], dtype=np.uint64)).view(np.int64)[0])
@@ -118,7 +136,7 @@ def sketches(width: int):
         for ids, texts in steps(batches):
             words, at = hashed_words(texts)
             items = [shingles(words[at[i] : at[i + 1]], width) for i in range(len(ids))]
-            yield batch_of(_SKETCH, [ids, [len(s) for s in items], [_digest(s) for s in items]])
+            yield batch_of(_SKETCH, [ids, [len(s) for s in items], [_digest(s) for s in items], [parities(s) for s in items]])
 
     return run
 
@@ -157,25 +175,41 @@ def _sets(width: int):
     return run
 
 
+def _near(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Of pairs(a, b) those that sizes and parities don't rule out."""
+    size, par = facts.select("h", "n"), facts.select("h", "par")
+    sized = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    both = sized.join(par.toDF("b", "pb"), "b").join(par.toDF("a", "pa"), "a").select("a", "b", "na", "nb", "pa", "pb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+                x, y = np.frombuffer(x, np.uint64)[None, :], np.frombuffer(y, np.uint64)[None, :]
+                words = min(x.shape[1], y.shape[1])
+                odd = int(np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum())
+                keep.append(odd * (100 + percent) <= (na + nb) * (100 - percent))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return in_arrow(both, run, "a long, b long")
+
+
+def _fetched(docs: DataFrame, facts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(h, n, items) of the sets named by wanted(h), made again from a text that has them."""
+    ids = facts.join(wanted.distinct(), "h").select(F.col("doc_id").alias("own_id"), "h")
+    texts = docs.join(ids, docs.doc_id.eqNullSafe(ids.own_id)).select("h", "text")
+    return in_arrow(texts, _sets(width), "h long, was long, n long, items array<long>").where("h = was and n > 0").drop("was").dropDuplicates(["h"])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs(a, b) those whose sets are similar enough. Sizes decide first."""
-    size = sets.select("h", "n")
-    near = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    both = near.join(sets.select(F.col("h").alias("b"), F.col("items").alias("ib")), "b").join(sets.select(F.col("h").alias("a"), F.col("items").alias("ia")), "a")
+    """Of pairs(a, b) those whose sets are similar enough."""
+    both = pairs.join(sets.select(F.col("h").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib")), "b").join(sets.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia")), "a")
     common = F.size(F.array_intersect("ia", "ib"))
     return both.withColumn("c", common).where(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * percent).select("a", "b")
 
 
-def _late_links(spark: SparkSession, open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): components that links between members of open buckets join.
-
-    Members that share buckets form a cluster. A cluster is laid out in blocks of
-    bounded size, by component; each two blocks that hold more than one component
-    and whose sizes are near enough are compared in one task as a whole, so what
-    moves grows with members times blocks, and only links come out.
-    """
-    cluster = components(spark, open_.select(F.col("c").alias("a"), F.col("h").alias("b"))).toDF("h", "cluster")
-    members = open_.select("h", "root").distinct().join(cluster, "h").join(sets.select("h", "n"), "h")
+def _blocks(spark: SparkSession, members: DataFrame, side: DataFrame, percent: int) -> DataFrame:
+    """members(cluster, h, root, n) with the columns of ``side``, for each two blocks to compare (cluster, i, j)."""
     members = members.withColumn("block", F.expr(f"(sum(n + {BLOCK_ITEMS // BLOCK_SETS}) over (partition by cluster order by root, h rows unbounded preceding)) div {BLOCK_ITEMS}"))
     members = settle(spark, members)
     blocks = members.groupBy("cluster", "block").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
@@ -183,10 +217,56 @@ def _late_links(spark: SparkSession, open_: DataFrame, sets: DataFrame, percent:
     pairs = one.join(two, "cluster").where(f"i <= j and not (r0 = r1 and s0 = s1 and r0 = s0) and n1 * 100 >= m0 * {percent} and m1 * 100 >= n0 * {percent}").select("cluster", "i", "j")
     pairs = settle(spark, pairs)
     sides = pairs.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    work = sides.join(members.drop("n"), ["cluster", "block"]).join(sets.select("h", "items"), "h").select("cluster", "i", "j", "h", "root", "items")
+    return sides.join(members, ["cluster", "block"]).join(side, "h").drop("block")
+
+
+def _late_links(spark: SparkSession, docs: DataFrame, open_: DataFrame, facts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): components that links between members of open buckets join.
+
+    Members that share buckets form a cluster. A cluster is laid out in blocks of
+    bounded size, by component; each two blocks that hold more than one component
+    and whose sizes are near enough are compared in one task as a whole, so what
+    moves grows with members times blocks, and only links come out. That is done
+    with parities first, then with the elements of the members they leave.
+    """
+    cluster = components(spark, open_.select(F.col("c").alias("a"), F.col("h").alias("b"))).toDF("h", "cluster")
+    members = settle(spark, open_.select("h", "root").distinct().join(cluster, "h").join(facts.select("h", "n"), "h").select("cluster", "h", "root", "n"))
+    work = _blocks(spark, members, facts.select("h", "par"), percent).select("cluster", "i", "j", "h", "root", "n", "par")
+    close = stash(spark, work.groupBy("cluster", "i", "j").applyInArrow(_block_close(percent), "h long").distinct(), "close")
+    if close.isEmpty():
+        return empty(spark, "a long, b long")
+    sets = stash(spark, _fetched(docs, facts, close, width).select("h", "items"), "late-sets")
+    release(spark)
+    work = _blocks(spark, members.join(close, "h").select("cluster", "h", "root", "n"), sets, percent).select("cluster", "i", "j", "h", "root", "items")
     return work.groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "a long, b long").distinct()
 
 
+def _block_close(percent: int):
+    """The members that parities leave a partner of another component."""
+    schema = pa.schema([("h", pa.int64())])
+
+    def run(group: pa.Table) -> pa.Table:
+        h, root, n = (np.array(group.column(c).to_pylist(), dtype=np.int64) for c in ("h", "root", "n"))
+        bits = group.column("par").to_pylist()
+        words = np.array([len(x) // 8 for x in bits])
+        classes = {w: (at := np.flatnonzero(words == w), np.stack([np.frombuffer(bits[i], np.uint64) for i in at])) for w in np.unique(words)}
+        found = np.zeros(len(h), dtype=bool)
+        for w, (at, rows) in classes.items():
+            for v, (to, others) in classes.items():
+                if v < w or 100 * n[at].max() < percent * n[to].min():
+                    continue
+                folded = _folded(others, rows.shape[1])
+                for i, row in zip(at, rows, strict=True):
+                    odd = np.bitwise_count(folded ^ row).sum(axis=1, dtype=np.int64)
+                    ok = (odd * (100 + percent) <= (n[i] + n[to]) * (100 - percent)) & (root[to] != root[i])
+                    if ok.any():
+                        found[i] = True
+                        found[to[ok]] = True
+        return pa.Table.from_arrays([pa.array(h[found], pa.int64())], schema=schema)
+
+    return run
+
+
 def _block_links(percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -229,23 +309,25 @@ def _block_links(percent: int):
 def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
     docs = text_docs(docs)
-    sketch = stash(spark, in_arrow(docs, sketches(width), "doc_id long, n long, h long"), "sketch")
+    sketch = stash(spark, in_arrow(docs, sketches(width), "doc_id long, n long, h long, par binary"), "sketch")
     signed = in_arrow(docs, _signed(width, percent), "h long, sig long").withColumn("c", F.expr("min(h) over (partition by sig)")).withColumn("m", F.expr("max(h) over (partition by sig)"))
     shared = stash(spark, signed.where("c < m").select("sig", "h", "c"), "shared")
     del signed
     release(spark)
+    facts = sketch.join(shared.select("h").distinct(), "h").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("par").alias("par"))
+    facts = stash(spark, facts, "facts")
     star = shared.where("h != c").select(F.col("c").alias("a"), F.col("h").alias("b")).distinct()
-    wanted = sketch.join(shared.select("h").distinct(), "h").groupBy("h").agg(F.min("doc_id").alias("doc_id"))
-    again = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id)).select("h", "text")
-    sets = in_arrow(again, _sets(width), "h long, was long, n long, items array<long>").where("h = was and n > 0").drop("was").dropDuplicates(["h"])
-    sets = stash(spark, sets, "sets")
+    near = stash(spark, _near(star, facts, percent), "near")
+    release(spark)
+    sets = stash(spark, _fetched(docs, facts, near.select(F.col("a").alias("h")).union(near.select("b")), width), "sets")
     release(spark)
-    links = stash(spark, _verified(star, sets, percent), "links")
+    links = stash(spark, _verified(near, sets, percent), "links")
     root = components(spark, links)
-    placed = shared.join(root.withColumnRenamed("node", "h"), "h", "left").select("sig", "h", "c", F.coalesce("root", "h").alias("root"))
-    open_ = placed.withColumn("least", F.expr("min(root) over (partition by sig)")).withColumn("most", F.expr("max(root) over (partition by sig)")).where("least < most").select("h", "c", "root")
-    open_ = stash(spark, open_.distinct(), "open")
-    late = stash(spark, _late_links(spark, open_, sets, percent), "late")
+    # each member has been compared with its bucket's smallest, so what is open is between the others
+    placed = shared.where("h != c").join(root.withColumnRenamed("node", "h"), "h", "left").select("sig", "h", F.coalesce("root", "h").alias("root"))
+    over = placed.withColumn("least", F.expr("min(root) over (partition by sig)")).withColumn("most", F.expr("max(root) over (partition by sig)")).withColumn("c", F.expr("min(h) over (partition by sig)"))
+    open_ = stash(spark, over.where("least < most").select("h", "c", "root").distinct(), "open")
+    late = stash(spark, _late_links(spark, docs, open_, facts, width, percent), "late")
     if not late.isEmpty():
         nodes = root.select("root").union(late.select("a")).union(late.select("b")).distinct()
         wider = nodes.join(components(spark, late).toDF("root", "wide"), "root", "left").select("root", F.coalesce("wide", "root").alias("wide"))
