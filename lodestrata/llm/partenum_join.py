@@ -109,7 +109,7 @@ def signatures(items: np.ndarray, lows: np.ndarray, percent: int) -> np.ndarray:
 
 
 def parities(items: np.ndarray) -> bytes:
-    """For each residue of the elements, whether an odd number has it; about a fiftieth of the set's size.
+    """For each residue of the elements, whether an odd number has it; about a fortieth of the set's size.
 
     Sets differ in at least as many elements as these bits do, so a pair whose bits differ
     too much can't link. Moduli are powers of two, so the longer of two folds to the shorter.
