@@ -32,6 +32,12 @@ def _walk(successors: dict, starts) -> set:
     return seen
 
 
+def _frame(p: int, **columns: list) -> pd.DataFrame:
+    """Rows of program ``p``; strings are plain objects, which Arrow takes as one array, empty or not."""
+    n = len(next(iter(columns.values())))
+    return pd.DataFrame({"p": pd.Series([p] * n, dtype="int64")} | {c: pd.Series(v, dtype=object) for c, v in columns.items()})
+
+
 def transitive_closure(pairs: DataFrame, strategy: str = "grouped") -> DataFrame:
     """All (p, v1, v2) with a path of one or more ``pairs(p, v1, v2)``."""
     if strategy == "grouped":
@@ -39,9 +45,7 @@ def transitive_closure(pairs: DataFrame, strategy: str = "grouped") -> DataFrame
         def closed(group: pd.DataFrame) -> pd.DataFrame:
             successors = group.groupby("v1")["v2"].agg(list).to_dict()
             rows = [(x, y) for x, after in successors.items() for y in _walk(successors, after)]
-            out = pd.DataFrame(rows, columns=["v1", "v2"])
-            out.insert(0, "p", group["p"].iloc[0])
-            return out
+            return _frame(group["p"].iloc[0], v1=[x for x, _ in rows], v2=[y for _, y in rows])
 
         return pairs.select("p", "v1", "v2").groupBy("p").applyInPandas(closed, "p long, v1 string, v2 string")
     base = settle(pairs.select("p", F.col("v1").alias("m"), "v2").distinct())
@@ -60,9 +64,7 @@ def reachable(roots: DataFrame, edges: DataFrame, strategy: str = "grouped") ->
         def walked(group: pd.DataFrame) -> pd.DataFrame:
             edge = group[group["c2"].notna()]
             seen = _walk(edge.groupby("c1")["c2"].agg(list).to_dict(), group[group["c2"].isna()]["c1"])
-            out = pd.DataFrame({"c": sorted(seen)})
-            out.insert(0, "p", group["p"].iloc[0])
-            return out
+            return _frame(group["p"].iloc[0], c=sorted(seen))
 
         both = roots.select("p", F.col("c").alias("c1"), F.lit(None).cast("string").alias("c2")).unionByName(edges.select("p", "c1", "c2"))
         return both.groupBy("p").applyInPandas(walked, "p long, c string")

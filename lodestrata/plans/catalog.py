@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.operators.closure import reachable, settle, transitive_closure
 from lodestrata.plans.relations import CLOSURES, DERIVED, REACH
+from lodestrata.plans import extras
+from lodestrata.sources.fact_text import relation_tables
 from lodestrata.sources.table_facts import FACTS
 
 TABLES = ("orders", "lineitem")
@@ -23,7 +26,7 @@ SQL = FACTS | DERIVED
 
 def needs(name: str) -> list[str]:
     if name in REACH:
-        return ["root_call", REACH[name]]
+        return list(REACH[name])
     if name in CLOSURES:
         return [CLOSURES[name][0]]
     text = re.sub(r"'[^']*'", "''", SQL[name])
@@ -47,47 +50,83 @@ def order(name: str) -> list[str]:
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    own = spark.newSession()
-    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
-        own.conf.set(key, spark.conf.get(key))
-    for t in TABLES:
-        own.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet").createOrReplaceTempView(t)
-    df = None
-    for x in order(name):
-        if x in REACH:
-            df = reachable(own.table("root_call"), own.table(REACH[x]))
-        elif x in CLOSURES:
-            base, a, b = CLOSURES[x]
-            df = transitive_closure(own.table(base).selectExpr("p", f"{a} as v1", f"{b} as v2"))
-        else:
-            df = own.sql(SQL[x])
-        if x in SHARED | set(REACH) | set(CLOSURES) and x != name:
-            df = settle(df)
-        df.createOrReplaceTempView(x)
-    return df
-
-
-def oracle(name: str) -> str:
+    """A relation over the facts of the driver tables."""
+    return _build(spark, name, {t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in TABLES}, order(name))
+
+
+def audit(facts: DataFrame, name: str) -> DataFrame:
+    """A relation over facts of any origin: rows ``p, relation, args`` (others are ignored), as of ``fact_text.scan``."""
+    return _build(facts.sparkSession, name, relation_tables(facts), [x for x in order(name) if x not in FACTS])
+
+
+def _build(spark: SparkSession, name: str, given: dict[str, DataFrame], steps: list[str]) -> DataFrame:
+    """Runs the steps over views of names of their own; a view is inlined where it is read, so all go at the end."""
+    if name in given:
+        return given[name]
+    mark = f"v{uuid4().hex[:12]}_"
+    known = {*given, *steps}
+    views: list[str] = []
+
+    def register(x: str, df: DataFrame) -> None:
+        df.createOrReplaceTempView(mark + x)
+        views.append(mark + x)
+
+    def own_names(sql: str) -> str:
+        return re.sub(r"\b(FROM|JOIN)(\s+)(\w+)", lambda m: m[1] + m[2] + (f"{mark}{m[3]} AS {m[3]}" if m[3] in known and not _aliased(sql, m.end()) else mark + m[3] if m[3] in known else m[3]), sql)
+
+    try:
+        for x, df in given.items():
+            register(x, df)
+        df = None
+        for x in steps:
+            if x in REACH:
+                df = reachable(*(spark.table(mark + r) for r in REACH[x]))
+            elif x in CLOSURES:
+                base, a, b = CLOSURES[x]
+                df = transitive_closure(spark.table(mark + base).selectExpr("p", f"{a} as v1", f"{b} as v2"))
+            else:
+                df = spark.sql(own_names(SQL[x]))
+            if x in SHARED | set(REACH) | set(CLOSURES) and x != name:
+                df = settle(df)
+            register(x, df)
+        return df
+    finally:
+        for v in views:
+            spark.catalog.dropTempView(v)
+
+
+def _aliased(sql: str, end: int) -> bool:
+    """Whether a table's name that ends here is followed by an alias: a word in lower case."""
+    return re.match(r"\s+[a-z]\w*", sql[end:]) is not None
+
+
+def clause(*names: str) -> str:
+    """The WITH clause that defines the relations and all they are built from."""
     parts = []
-    for x in order(name):
+    for x in dict.fromkeys(y for name in names for y in order(name)):
         if x in REACH:
-            body = f"SELECT p, c FROM root_call UNION SELECT e.p, e.c2 FROM {x} r JOIN {REACH[x]} e ON e.p = r.p AND e.c1 = r.c"
+            roots, edges = REACH[x]
+            body = f"SELECT p, c FROM {roots} UNION SELECT e.p, e.c2 FROM {x} r JOIN {edges} e ON e.p = r.p AND e.c1 = r.c"
         elif x in CLOSURES:
             base, a, b = CLOSURES[x]
             body = f"SELECT p, {a} AS v1, {b} AS v2 FROM {base} UNION SELECT r.p, r.v1, e.{b} FROM {x} r JOIN {base} e ON e.p = r.p AND e.{a} = r.v2"
         else:
             body = SQL[x]
         parts.append(f"{x} AS ({body})")
-    return "WITH RECURSIVE " + ",\n".join(parts) + f"\nSELECT * FROM {name}"
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
+
+
+def oracle(name: str) -> str:
+    return clause(name) + f"SELECT * FROM {name}"
 
 
-HIDDEN = {"orders_", "customers_", "items_", "inner_root", "used_value", "source_kind", "input_available", "acall", "call_before"}
+HIDDEN = {"orders_", "customers_", "items_", "inner_root", "used_value", "source_kind", "input_available", "acall", "call_before", "inner_edge"}
 NAMES = [n for n in [*(x for x in FACTS if x in ("call_action_arg", "value")), *DERIVED, *REACH, *CLOSURES] if n not in HIDDEN]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: lambda spark, sf_dir, n=n: relation(spark, sf_dir, n) for n in NAMES}
+    return {n: lambda spark, sf_dir, n=n: relation(spark, sf_dir, n) for n in NAMES} | extras.queries(relation)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: oracle(n) for n in NAMES}
+    return {n: oracle(n) for n in NAMES} | extras.oracle_sql(clause)

@@ -52,7 +52,7 @@ DERIVED: dict[str, str] = {
     "egress_call": "SELECT DISTINCT p, c FROM call_effect JOIN call_in_untrusted_region USING (p, c) WHERE kind IN ('net_write', 'agent_call')",
     "skill_egress": "SELECT DISTINCT p, s FROM acall JOIN egress_call USING (p, c)",
     "claim_blocks": f"SELECT DISTINCT p, s, b.claim, b.kind FROM skill_doc_claim d JOIN ({_BLOCKED}) b ON b.claim = d.claim",
-    "source_kind": "SELECT p, v, 'secret' AS kind FROM secret_source UNION SELECT p, v, 'sensitive' FROM sensitive_source",
+    "source_kind": "SELECT p, v, 'secret' AS kind FROM secret_source UNION SELECT p, v, 'sensitive_local' FROM sensitive_source",
     # sink value, and a source that reaches it, of each call
     "call_reached": "SELECT DISTINCT i.p, i.c, i.v AS sink, r.v1 AS src FROM call_input i JOIN value_reaches r ON r.p = i.p AND r.v2 = i.v",
 }
@@ -61,16 +61,16 @@ DERIVED |= {
     "label_dangerous_execution_primitives": "SELECT DISTINCT k.p, s, a, c FROM acall k JOIN call_effect e USING (p, c) WHERE e.kind IN ('proc_exec', 'code_eval') AND (EXISTS (SELECT 1 FROM call_in_untrusted_region u WHERE u.p = k.p AND u.c = k.c) OR EXISTS (SELECT 1 FROM call_code d WHERE d.p = k.p AND d.c = k.c AND d.kind IN ('encoded_binary', 'obfuscated')))"
     " UNION SELECT x.p, y.s, y.a, y.c FROM acall x JOIN edge e ON e.p = x.p AND e.c1 = x.c JOIN acall y ON y.p = e.p AND y.c = e.c2 AND y.a = x.a AND y.s = x.s JOIN call_effect f ON f.p = x.p AND f.c = x.c AND f.kind = 'net_read' JOIN call_effect g ON g.p = y.p AND g.c = y.c AND g.kind = 'proc_exec'",
     "label_behavior_claim_contradiction": "SELECT DISTINCT p, s, a, c, claim, kind FROM acall JOIN call_effect USING (p, c) JOIN claim_blocks USING (p, s, kind)",
-    "label_unverifiable_dependency_source": "SELECT DISTINCT x.p, x.s, x.a, y.c AS exec, x.c AS src FROM acall x JOIN call_in_untrusted_region u ON u.p = x.p AND u.c = x.c JOIN call_effect f ON f.p = x.p AND f.c = x.c AND f.kind IN ('net_read', 'agent_call') JOIN call_output o ON o.p = x.p AND o.c = x.c JOIN call_reached r ON r.p = o.p AND r.src = o.v JOIN acall y ON y.p = r.p AND y.c = r.c AND y.a = x.a AND y.s = x.s AND y.c <> x.c JOIN call_effect g ON g.p = y.p AND g.c = y.c AND g.kind IN ('proc_exec', 'code_eval')"
-    " UNION SELECT k.p, k.s, k.a, k.c, k.c FROM acall k JOIN call_in_untrusted_region u ON u.p = k.p AND u.c = k.c JOIN call_code d ON d.p = k.p AND d.c = k.c AND d.kind = 'unresolved_target' JOIN call_effect e ON e.p = k.p AND e.c = k.c AND e.kind IN ('proc_exec', 'code_eval', 'net_read')",
+    "label_unverifiable_dependency_source": "SELECT DISTINCT x.p, x.s, x.a, y.c AS exec, x.c AS src FROM acall x JOIN call_region_untrusted u ON u.p = x.p AND u.c = x.c JOIN call_effect f ON f.p = x.p AND f.c = x.c AND f.kind IN ('net_read', 'agent_call') JOIN call_output o ON o.p = x.p AND o.c = x.c JOIN call_reached r ON r.p = o.p AND r.src = o.v JOIN acall y ON y.p = r.p AND y.c = r.c AND y.a = x.a AND y.s = x.s AND y.c <> x.c JOIN call_effect g ON g.p = y.p AND g.c = y.c AND g.kind IN ('proc_exec', 'code_eval')"
+    " UNION SELECT k.p, k.s, k.a, k.c, k.c FROM acall k JOIN call_region_untrusted u ON u.p = k.p AND u.c = k.c JOIN call_code d ON d.p = k.p AND d.c = k.c AND d.kind = 'unresolved_target' JOIN call_effect e ON e.p = k.p AND e.c = k.c AND e.kind IN ('proc_exec', 'code_eval', 'net_read')",
     "label_unsanitized_context_ingestion": f"SELECT DISTINCT k.p, k.s, k.a, k.c, r.src FROM acall k JOIN high_priv_call h ON h.p = k.p AND h.c = k.c JOIN call_reached r ON r.p = k.p AND r.c = k.c JOIN untrusted_source u ON u.p = r.p AND u.v = r.src WHERE {_OPEN} AND NOT EXISTS (SELECT 1 FROM value w WHERE w.p = r.p AND w.v = r.sink AND w.kind = 'literal')",
     "label_implicit_egress_channels": f"SELECT DISTINCT k.p, k.s, k.a, k.c, q.kind, r.src FROM acall k JOIN egress_call h ON h.p = k.p AND h.c = k.c JOIN call_reached r ON r.p = k.p AND r.c = k.c JOIN source_kind q ON q.p = r.p AND q.v = r.src WHERE {_OPEN}",
-    "label_sensitive_local_resource_overreach": "SELECT DISTINCT k.p, k.s, k.a, k.c, concat('egress_', q.kind) AS kind, r.src FROM acall k JOIN egress_call h ON h.p = k.p AND h.c = k.c JOIN call_reached r ON r.p = k.p AND r.c = k.c JOIN source_kind q ON q.p = r.p AND q.v = r.src"
-    " UNION SELECT k.p, k.s, k.a, k.c, concat('unlisted_', q.kind), r.src FROM acall k JOIN call_reached r ON r.p = k.p AND r.c = k.c JOIN source_kind q ON q.p = r.p AND q.v = r.src WHERE NOT EXISTS (SELECT 1 FROM (SELECT p, v, a, 'secret' AS kind FROM value_secret_allowed_action UNION ALL SELECT p, v, a, 'sensitive' FROM value_sensitive_allowed_action) l WHERE l.p = k.p AND l.v = r.src AND l.a = k.a AND l.kind = q.kind)"
-    f" UNION SELECT k.p, k.s, k.a, k.c, concat('joined_', r.kind), r.src FROM acall k JOIN (SELECT r.p, r.c, r.sink, r.src, q.kind FROM call_reached r JOIN source_kind q ON q.p = r.p AND q.v = r.src) r ON r.p = k.p AND r.c = k.c WHERE {_OPEN} AND EXISTS (SELECT 1 FROM call_reached t JOIN untrusted_source u ON u.p = t.p AND u.v = t.src WHERE t.p = r.p AND t.c = r.c AND t.sink <> r.sink AND t.src <> r.src)",
+    "label_sensitive_local_resource_overreach": "SELECT DISTINCT k.p, k.s, k.a, k.c, q.kind, r.src FROM acall k JOIN egress_call h ON h.p = k.p AND h.c = k.c JOIN call_reached r ON r.p = k.p AND r.c = k.c JOIN source_kind q ON q.p = r.p AND q.v = r.src"
+    " UNION SELECT k.p, k.s, k.a, k.c, q.kind, r.src FROM acall k JOIN call_reached r ON r.p = k.p AND r.c = k.c JOIN source_kind q ON q.p = r.p AND q.v = r.src WHERE NOT EXISTS (SELECT 1 FROM (SELECT p, v, a, 'secret' AS kind FROM value_secret_allowed_action UNION ALL SELECT p, v, a, 'sensitive_local' FROM value_sensitive_allowed_action) l WHERE l.p = k.p AND l.v = r.src AND l.a = k.a AND l.kind = q.kind)"
+    f" UNION SELECT k.p, k.s, k.a, k.c, r.kind, r.src FROM acall k JOIN (SELECT r.p, r.c, r.sink, r.src, q.kind FROM call_reached r JOIN source_kind q ON q.p = r.p AND q.v = r.src) r ON r.p = k.p AND r.c = k.c WHERE {_OPEN} AND EXISTS (SELECT 1 FROM call_reached t JOIN untrusted_source u ON u.p = t.p AND u.v = t.src WHERE t.p = r.p AND t.c = r.c AND t.sink <> r.sink AND t.src <> r.src)",
     "label_ungated_irreversible_operation": "SELECT DISTINCT k.p, k.s, k.a, k.c FROM acall k JOIN high_priv_call h ON h.p = k.p AND h.c = k.c WHERE NOT EXISTS (SELECT 1 FROM gated_action g WHERE g.p = k.p AND g.a = k.a)",
-    "label_hardcoded_c2_communication": "SELECT DISTINCT k.p, k.s, k.a, k.c, t.v AS target FROM acall k JOIN call_effect e ON e.p = k.p AND e.c = k.c AND e.kind IN ('net_read', 'net_write') JOIN call_region t ON t.p = k.p AND t.c = k.c JOIN call_in_untrusted_region u ON u.p = k.p AND u.c = k.c JOIN call_code d ON d.p = k.p AND d.c = k.c AND d.kind = 'unresolved_target'",
-    "label_shadow_credentials": "SELECT DISTINCT k.p, k.s, k.a, k.c, q.kind FROM acall k JOIN call_effect e ON e.p = k.p AND e.c = k.c AND e.kind IN ('fs_read', 'fs_list', 'env_read', 'db_read') JOIN (SELECT p, c, 'secret' AS kind FROM call_region_secret UNION ALL SELECT p, c, 'sensitive' FROM call_region_sensitive) q ON q.p = k.p AND q.c = k.c JOIN skill_egress g ON g.p = k.p AND g.s = k.s",
+    "label_hardcoded_c2_communication": "SELECT DISTINCT k.p, k.s, k.a, k.c, t.v AS target FROM acall k JOIN call_effect e ON e.p = k.p AND e.c = k.c AND e.kind IN ('net_read', 'net_write') JOIN call_region t ON t.p = k.p AND t.c = k.c JOIN call_region_untrusted u ON u.p = k.p AND u.c = k.c JOIN call_code d ON d.p = k.p AND d.c = k.c AND d.kind = 'unresolved_target'",
+    "label_shadow_credentials": "SELECT DISTINCT k.p, k.s, k.a, k.c, q.kind FROM acall k JOIN call_effect e ON e.p = k.p AND e.c = k.c AND e.kind IN ('fs_read', 'fs_list', 'env_read', 'db_read') JOIN (SELECT p, c, 'secret' AS kind FROM call_region_secret UNION ALL SELECT p, c, 'sensitive_local' FROM call_region_sensitive) q ON q.p = k.p AND q.c = k.c JOIN skill_egress g ON g.p = k.p AND g.s = k.s",
     "label_obfuscation": "SELECT DISTINCT k.p, k.s, k.a, k.c, d.kind AS code FROM acall k JOIN call_code d ON d.p = k.p AND d.c = k.c WHERE d.kind IN ('obfuscated', 'encoded_binary')",
     "label_dormant_malicious_payload": "SELECT DISTINCT k.p, k.s, k.a, k.c, 'remote_killswitch' AS pattern FROM acall k JOIN high_priv_call h ON h.p = k.p AND h.c = k.c JOIN call_conditional d ON d.p = k.p AND d.c2 = k.c JOIN value_untrusted u ON u.p = d.p AND u.v = d.v"
     " UNION SELECT k.p, k.s, k.a, k.c, d.kind FROM acall k JOIN call_code d ON d.p = k.p AND d.c = k.c WHERE d.kind IN ('obfuscated', 'encoded_binary')"
@@ -107,15 +107,16 @@ DERIVED |= {
     "check_cross": "SELECT DISTINCT e.p, 'SDL031' AS code, e.c1, e.c2 FROM edge e JOIN call x ON x.p = e.p AND x.c = e.c1 JOIN call y ON y.p = e.p AND y.c = e.c2 WHERE x.a <> y.a",
     "inner_root": "SELECT DISTINCT k.p, k.a, k.c FROM call k WHERE NOT EXISTS (SELECT 1 FROM edge e JOIN call x ON x.p = e.p AND x.c = e.c1 WHERE e.p = k.p AND e.c2 = k.c AND x.a = k.a)",
     "check_root": "SELECT p, 'SDL032' AS code, a FROM call k WHERE NOT EXISTS (SELECT 1 FROM inner_root r WHERE r.p = k.p AND r.a = k.a) GROUP BY p, a HAVING count(DISTINCT c) >= 2",
-    "check_unreachable": "SELECT k.p, 'SDL033' AS code, k.a, count(*) AS n FROM call k WHERE EXISTS (SELECT 1 FROM inner_root i WHERE i.p = k.p AND i.a = k.a) AND NOT EXISTS (SELECT 1 FROM reachable_call r WHERE r.p = k.p AND r.c = k.c) GROUP BY k.p, k.a",
-    "used_value": "SELECT p, v FROM call_region UNION SELECT p, v FROM call_input UNION SELECT p, v FROM call_output UNION SELECT p, v FROM call_conditional UNION SELECT p, v1 FROM call_action_arg UNION SELECT p, v2 FROM call_action_arg",
-    "check_value_defined": "SELECT u.p, 'SDL040' AS code, u.v FROM used_value u WHERE NOT EXISTS (SELECT 1 FROM value w WHERE w.p = u.p AND w.v = u.v) AND NOT EXISTS (SELECT 1 FROM action_param m WHERE m.p = u.p AND m.v = u.v)",
+    "inner_edge": "SELECT DISTINCT e.p, e.c1, e.c2 FROM edge e JOIN call x ON x.p = e.p AND x.c = e.c1 JOIN call y ON y.p = e.p AND y.c = e.c2 WHERE x.a = y.a",
+    "check_unreachable": "SELECT k.p, 'SDL033' AS code, k.a, count(DISTINCT k.c) AS n, min(k.c) AS first_call FROM call k WHERE EXISTS (SELECT 1 FROM inner_root i WHERE i.p = k.p AND i.a = k.a) AND NOT EXISTS (SELECT 1 FROM inner_reach r WHERE r.p = k.p AND r.c = k.c) GROUP BY k.p, k.a",
+    "used_value": " UNION ALL ".join(f"SELECT p, '{r}' AS relation, {v} AS v FROM {r}" for r, v in (("call_region", "v"), ("call_input", "v"), ("call_output", "v"), ("call_conditional", "v"), ("call_action_arg", "v1"), ("call_action_arg", "v2"))),
+    "check_value_defined": "SELECT DISTINCT u.p, 'SDL040' AS code, u.relation, u.v FROM used_value u WHERE NOT EXISTS (SELECT 1 FROM value w WHERE w.p = u.p AND w.v = u.v) AND NOT EXISTS (SELECT 1 FROM action_param m WHERE m.p = u.p AND m.v = u.v)",
     "check_policy": " UNION ALL ".join(f"SELECT DISTINCT w.p, '{code}' AS code, w.v FROM value w WHERE w.kind = '{kind}' AND NOT EXISTS (SELECT 1 FROM {allowed} l WHERE l.p = w.p AND l.v = w.v)" for code, kind, allowed in (("SDL050", "secret", "value_secret_allowed_action"), ("SDL051", "sensitive_local", "value_sensitive_allowed_action"))),
     "check_conflict": " UNION ALL ".join(f"SELECT p, '{code}' AS code, c FROM call_region_untrusted JOIN {r} USING (p, c)" for code, r in (("SDL060", "call_region_sensitive"), ("SDL061", "call_region_secret"))),
     "input_available": "SELECT i.p, i.c, i.v, CASE WHEN EXISTS (SELECT 1 FROM action_param m WHERE m.p = k.p AND m.a = k.a AND m.v = i.v) OR EXISTS (SELECT 1 FROM value w WHERE w.p = k.p AND w.a = k.a AND w.v = i.v) OR EXISTS (SELECT 1 FROM call_before b JOIN call_output o ON o.p = b.p AND o.c = b.v1 WHERE b.p = k.p AND b.v2 = k.c AND o.v = i.v) THEN 1 ELSE 0 END AS ok FROM call_input i JOIN call k ON k.p = i.p AND k.c = i.c",
     "metric_availability": "SELECT p, round(CAST(sum(ok) AS DOUBLE) / count(*), 6) AS availability FROM input_available GROUP BY p",
 }
 
-#: Fixpoints: (start, step) as (nodes or pairs) over p; the seed relation and the edge relation.
-REACH = {"reachable_call": "edge", "unconditional_reach": "call_unconditional"}
+#: Fixpoints over p: what is reached from a relation of nodes along one of edges, and closures of pairs.
+REACH = {"reachable_call": ("root_call", "edge"), "unconditional_reach": ("root_call", "call_unconditional"), "inner_reach": ("inner_root", "inner_edge")}
 CLOSURES = {"data_flows": ("flow_base", "v1", "v2"), "call_before": ("edge", "c1", "c2")}
