@@ -124,7 +124,7 @@ def align_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_tokens(text: str) -> str:
-    return f"list_transform(regexp_extract_all(coalesce({text}, ''), '{alignment.TOKEN}'), x -> lower(x))"
+    return f"list_transform(regexp_extract_all(coalesce({text}, ''), '{alignment.TOKEN}'), lambda x: lower(x))"
 
 
 _LOW = r"lower(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'))"

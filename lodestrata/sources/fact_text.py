@@ -99,6 +99,7 @@ def scan(texts: DataFrame, strict: bool = False) -> DataFrame:
     """Facts of ``texts(p, text)``, a program per row; ``seq`` counts a program's lines from 0. Null text: no rows."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in COLUMNS.split(", ")]
         for frame in frames:
             for p, text in zip(frame["p"], frame["text"]):
                 rows = [(p, i, *row) for i, row in enumerate(parse_program(text, strict))] if isinstance(text, str) else []
