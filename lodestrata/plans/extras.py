@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.datalog_text import parse_text
+from lodestrata.functions.units import units
 from lodestrata.operators import alignment
 from lodestrata.operators.datalog import evaluate
-from lodestrata.plans import fact_checks, findings
+from lodestrata.plans import documents, fact_checks, findings
 from lodestrata.sources.fact_text import scan
 
 # ---- Datalog text over the facts of the driver tables
@@ -144,6 +145,50 @@ ALIGN_SQL = {
      SELECT coalesce(r.p, v.p) AS p, round(coalesce(rate, 0.0), 6) AS match_rate, round(coalesce(share, 0.0), 6) AS unit_coverage, round(coalesce(rate, 0.0) * coalesce(share, 0.0), 6) AS grounding FROM r FULL JOIN v ON r.p = v.p""",
 }
 
+# ---- documents: a conversation is a directory, each turn a file
+
+
+_PATH = "CASE WHEN turn = 0 THEN 'SKILL.md' ELSE concat(CASE turn % 3 WHEN 0 THEN 'src/' WHEN 1 THEN '' ELSE 'build/' END, 't', CAST(turn AS STRING), CASE turn % 4 WHEN 0 THEN '.sh' WHEN 1 THEN '.txt' WHEN 2 THEN '.bin' ELSE '.d.ts' END) END"
+
+
+def turn_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
+    return turns.select(F.col("conv_id").alias("p"), F.expr(_PATH).alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+
+
+def doc_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.inventory(turn_files(spark, sf_dir)).drop("content", "text")
+
+
+def doc_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.content_hash(documents.inventory(turn_files(spark, sf_dir)))
+
+
+def doc_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.source_map(documents.merged_lines(documents.inventory(turn_files(spark, sf_dir))))
+
+
+def doc_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of the whole texts of ``documents``, line by line."""
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    made = units(docs.select(F.col("doc_id").alias("p"), F.lit("text.txt").alias("path"), F.lit("text").alias("language"), "text"))
+    return made.groupBy("p").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"), F.max("line_end").alias("last_line"), F.max("id").alias("last_id"))
+
+
+_LISTED = f"""listed AS (SELECT p, path, size_bytes, lang AS language, CASE WHEN lang = 'unknown' OR path LIKE '%.d.ts' THEN 'excluded' WHEN path = 'SKILL.md' THEN 'inlined' ELSE 'inlined_source' END AS disposition, body,
+   CASE WHEN body = '' THEN 0 ELSE len(string_split(rtrim(body, chr(10)), chr(10))) END AS n FROM
+   (SELECT conv_id AS p, {_PATH} AS path, coalesce(text, '') AS body, strlen(coalesce(text, '')) AS size_bytes, CASE WHEN turn = 0 THEN 'markdown' WHEN turn % 4 = 0 THEN 'shell' WHEN turn % 4 = 1 THEN 'text' WHEN turn % 4 = 2 THEN 'unknown' ELSE 'typescript' END AS lang
+    FROM conversations WHERE turn = 0 OR turn % 3 <> 2))"""
+DOC_SQL = {
+    "doc_inventory": f"WITH {_LISTED} SELECT p, path, size_bytes, language, disposition, CASE WHEN disposition = 'excluded' THEN 0 ELSE n END AS line_count FROM listed",
+    "doc_hash": f"WITH {_LISTED} SELECT p, sha256(string_agg(concat(path, chr(0), disposition, chr(0), CASE WHEN disposition = 'excluded' THEN size_bytes::VARCHAR ELSE body END, chr(0)), '' ORDER BY path)) AS sha256 FROM listed GROUP BY p",
+    "doc_map": f"""WITH {_LISTED}, f AS (SELECT p, path, disposition, CASE WHEN rtrim(body) = '' THEN 0 ELSE len(string_split(regexp_replace(body, '[\\s]+$', ''), chr(10))) END AS m FROM listed WHERE disposition <> 'excluded'),
+     runs AS (SELECT p, 0 AS b, '' AS k, 0 AS i, path AS source_file, m, 1 AS s FROM f WHERE disposition = 'inlined' AND m > 0 UNION ALL SELECT DISTINCT p, 1, '', 0, '{documents.GENERATED}', 3, 0 FROM f WHERE disposition <> 'inlined'
+      UNION ALL SELECT p, 2, CASE WHEN contains(path, '/') THEN '1' ELSE '0' END || path, i, path, CASE i WHEN 0 THEN CASE WHEN m = 0 THEN 5 ELSE 3 END WHEN 1 THEN m ELSE 2 END, CASE WHEN i = 1 THEN 1 ELSE 0 END FROM f, (VALUES (0), (1), (2)) v(i) WHERE disposition <> 'inlined' AND (i = 0 OR m > 0))
+     SELECT p, e - m + 1 AS line_start, e AS line_end, source_file, s AS source_start, CASE WHEN s = 0 THEN 0 ELSE m END AS source_end FROM (SELECT *, sum(m) OVER (PARTITION BY p ORDER BY b, k, i) AS e FROM runs)""",
+    "doc_units": r"""SELECT p, count(*) AS n, sum(length(u)) AS n_chars, max(i) AS last_line, count(*) - 1 AS last_id FROM (SELECT doc_id AS p, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i, regexp_replace(l, '^\s+|\s+$', '', 'g') AS u FROM documents WHERE text IS NOT NULL) WHERE u <> '' GROUP BY p""",
+}
+
 # ---- reports
 
 
@@ -169,7 +214,7 @@ def _finding_sql(clause: Callable) -> dict[str, str]:
 
 
 def queries(relation: Callable) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {f.__name__: f for f in (fact_classes, fact_issues, fact_support, align_best, align_metrics)}
+    own = {f.__name__: f for f in (fact_classes, fact_issues, fact_support, align_best, align_metrics, doc_inventory, doc_hash, doc_map, doc_units)}
     return {n: _program(n, relation) for n in PROGRAMS} | own | _finding_queries(relation)
 
 
@@ -180,4 +225,4 @@ def oracle_sql(clause: Callable) -> dict[str, str]:
         + """SELECT DISTINCT k.p, k.c, e.kind, 'checked' AS note FROM call k JOIN call_effect e ON e.p = k.p AND e.c = k.c WHERE (e.kind = 'proc_exec' OR e.kind LIKE '%write%') AND k.a <> '7'
           AND NOT EXISTS (SELECT 1 FROM action_gate g WHERE g.p = k.p AND g.a = k.a AND g.kind = 'human_approval') AND NOT EXISTS (SELECT 1 FROM call_region_secret r WHERE r.p = k.p AND r.c = k.c)
           UNION SELECT x.p, x.c1, 'loop', 'cycle' FROM call_unconditional x JOIN call_unconditional y ON x.p = y.p AND x.c2 = y.c1 AND x.c1 = y.c2""",
-    } | FACT_SQL | ALIGN_SQL | _finding_sql(clause)
+    } | FACT_SQL | ALIGN_SQL | DOC_SQL | _finding_sql(clause)
