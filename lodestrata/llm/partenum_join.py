@@ -51,7 +51,7 @@ BLOCK_ITEMS = 256 * 1024
 COLUMNS = 4096
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("par", pa.binary())])
 _SIGNED = pa.schema([("h", pa.int64()), ("sig", pa.int64())])
-_SETS = pa.schema([("h", pa.int64()), ("was", pa.int64()), ("n", pa.int64()), ("items", pa.list_(pa.int64()))])
+_SETS = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("items", pa.list_(pa.int64()))])
 
 
 def bands(ratio: float = BAND_RATIO) -> np.ndarray:
@@ -165,12 +165,22 @@ def _signed(width: int, percent: int):
 
 
 def _sets(width: int):
+    """Sets of (h, text), of texts whose set has this digest; a task gives each set once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for hs, texts in steps(batches):
             words, at = hashed_words(texts)
-            items = [shingles(words[at[i] : at[i + 1]], width) for i in range(len(hs))]
-            offsets = np.concatenate(([0], np.cumsum([len(s) for s in items]))).astype(np.int32)
-            yield batch_of(_SETS, [[_digest(s) for s in items], hs, [len(s) for s in items], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(items).view(np.int64)))])
+            found: dict[int, np.ndarray] = {}
+            for i, h in enumerate(hs):
+                items = shingles(words[at[i] : at[i + 1]], width)
+                if len(items) and h not in seen and _digest(items) == h:
+                    seen.add(h)
+                    found[h] = items
+            if found:
+                offsets = np.concatenate(([0], np.cumsum([len(s) for s in found.values()]))).astype(np.int32)
+                values = pa.array(np.concatenate(list(found.values())).view(np.int64))
+                yield batch_of(_SETS, [list(found), [len(s) for s in found.values()], pa.ListArray.from_arrays(pa.array(offsets), values)])
 
     return run
 
@@ -195,15 +205,19 @@ def _near(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
 
 
 def _fetched(docs: DataFrame, facts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(h, n, items) of the sets named by wanted(h), made again from a text that has them."""
+    """(h, n, items) of the sets named by wanted(h), made again from a text that has them.
+
+    The texts are joined by merging at every size, so rows of one doc_id meet in one task, which gives a set once;
+    should a split of a skewed partition part them, a set that comes twice adds no link."""
     ids = facts.join(wanted.distinct(), "h").select(F.col("doc_id").alias("own_id"), "h")
-    texts = docs.join(ids, docs.doc_id.eqNullSafe(ids.own_id)).select("h", "text")
-    return in_arrow(texts, _sets(width), "h long, was long, n long, items array<long>").where("h = was and n > 0").drop("was").dropDuplicates(["h"])
+    texts = docs.join(ids.hint("merge"), docs.doc_id.eqNullSafe(ids.own_id)).select("h", "text")
+    return in_arrow(texts, _sets(width), "h long, n long, items array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs(a, b) those whose sets are similar enough."""
-    both = pairs.join(sets.select(F.col("h").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib")), "b").join(sets.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia")), "a")
+    one, two = (sets.select(F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("items").alias(f"i{x}")).hint("merge") for x in "ab")
+    both = pairs.join(two, "b").join(one, "a")
     common = F.size(F.array_intersect("ia", "ib"))
     return both.withColumn("c", common).where(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * percent).select("a", "b")
 
@@ -217,7 +231,7 @@ def _blocks(spark: SparkSession, members: DataFrame, side: DataFrame, percent: i
     pairs = one.join(two, "cluster").where(f"i <= j and not (r0 = r1 and s0 = s1 and r0 = s0) and n1 * 100 >= m0 * {percent} and m1 * 100 >= n0 * {percent}").select("cluster", "i", "j")
     pairs = settle(spark, pairs)
     sides = pairs.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    return sides.join(members, ["cluster", "block"]).join(side, "h").drop("block")
+    return sides.join(members, ["cluster", "block"]).join(side.hint("merge"), "h").drop("block")
 
 
 def _late_links(spark: SparkSession, docs: DataFrame, open_: DataFrame, facts: DataFrame, width: int, percent: int) -> DataFrame:
