@@ -216,7 +216,7 @@ def _fetched(docs: DataFrame, facts: DataFrame, wanted: DataFrame, width: int) -
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs(a, b) those whose sets are similar enough."""
-    one, two = (sets.select(F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("items").alias(f"i{x}")).hint("merge") for x in "ab")
+    one, two = (sets.select(F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("items").alias(f"i{x}")) for x in "ab")
     both = pairs.join(two, "b").join(one, "a")
     common = F.size(F.array_intersect("ia", "ib"))
     return both.withColumn("c", common).where(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * percent).select("a", "b")
@@ -231,7 +231,7 @@ def _blocks(spark: SparkSession, members: DataFrame, side: DataFrame, percent: i
     pairs = one.join(two, "cluster").where(f"i <= j and not (r0 = r1 and s0 = s1 and r0 = s0) and n1 * 100 >= m0 * {percent} and m1 * 100 >= n0 * {percent}").select("cluster", "i", "j")
     pairs = settle(spark, pairs)
     sides = pairs.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    return sides.join(members, ["cluster", "block"]).join(side.hint("merge"), "h").drop("block")
+    return sides.join(members, ["cluster", "block"]).join(side, "h").drop("block")
 
 
 def _late_links(spark: SparkSession, docs: DataFrame, open_: DataFrame, facts: DataFrame, width: int, percent: int) -> DataFrame:
