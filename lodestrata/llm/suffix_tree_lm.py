@@ -2,21 +2,24 @@
 
 Symbols are the lower-cased words of a text, then an end; contexts are the up to
 ``DEPTH`` symbols before, a start symbol included. All training documents are
-counted. Runs of two, three and more symbols are counted level by level: a run
-can be ``min_share`` of all tokens only if both runs one symbol shorter are, so
-only such runs are counted, each over all training texts. A context stays in the
-tree if the likelihood that its own next-symbol distribution gains over that of
-the context one symbol shorter (its count times their Kullback-Leibler
-divergence, less what smoothing costs) reaches ``MIN_GAIN``; the suffixes of a
-kept context stay too. A kept context gives what its counted runs leave, and
-``PRIOR``, to the distribution of the next shorter one; the shortest is the
-unigram of all words with add-half smoothing, which is also the base. A symbol is
-scored in the state of its longest kept suffix.
-
-The tree that goes to the tasks has at most ``1 / min_share`` runs a length, and
-so has the table of frequent words; what is gathered before grows with the input
-and stays distributed. The counts of the other words are joined by their 64-bit
-hashes, so the base and the score use the exact count of every word.
+counted. Every run of two, three and more symbols that occurs at least
+``MIN_COUNT`` times is in the tree's statistics, at any size of input. A context
+stays in the tree if the likelihood that its own next-symbol distribution gains
+over that of the context one symbol shorter (its count times their
+Kullback-Leibler divergence, less what smoothing costs) reaches ``MIN_GAIN``; the
+suffixes of a kept context stay too. A kept context gives what its counted runs
+leave, and ``PRIOR``, to the distribution of the next shorter one; the shortest is
+the unigram of all words with add-half smoothing, which is also the base. A symbol
+is scored in the state of its longest kept suffix.
+
+The tree is a distributed table. The logarithm of a symbol's probability is that of
+the unigram, plus for each kept context the logarithm of what it gives on, plus for
+each counted run in it the rest; so a text's gain is a sum of one value a run, and
+the runs are joined to the values by their 64-bit hashes, as are the words. Three
+things go to the tasks, each of a bounded size that results don't depend on: the
+frequent words (``min_share`` of all), the values of the frequent runs
+(``HOT_SHARE``), and bit filters by which a task leaves out runs that can't reach
+``MIN_COUNT`` or surely have no value; a full filter leaves out less.
 
 Edge cases: null and empty texts are the end symbol alone; without training
 documents the tree is empty and train_tokens is 0; a null doc_id counts as
@@ -26,20 +29,25 @@ empty tables give empty results; only doc_id and text are read.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import batch_of, in_arrow, stash, steps, text_docs
+from lodestrata.llm.common import MADE, batch_of, drop_stashes, in_arrow, release, stash, steps, text_docs
 from lodestrata.llm.hashing import hashed_words, mix
 
 DEPTH = 3
-MIN_SHARE = 1e-5
+#: Least count of a run of two or more symbols, whatever the input's size.
+MIN_COUNT = 2
+#: Shares of all tokens from which on words and runs are looked up in the tasks instead of joined.
+MIN_SHARE, HOT_SHARE = 1e-5, 1e-6
+#: Bits of a filter.
+FILTER_BITS = 1 << 26
 #: Nats that a context must gain over its parent.
 MIN_GAIN = 12.0
 #: Counts that a context adds to those of its parent's distribution.
@@ -109,150 +117,157 @@ def _count_words(ids: list, texts: list[bytes]) -> tuple:
     return unique, np.bincount(codes, train, minlength=len(unique)).astype(np.int64), np.bincount(codes, minlength=len(unique))
 
 
-def _count_runs(length: int, shorter):
-    """Counts runs whose both shorter runs are among ``shorter``."""
+def _keys(symbols: np.ndarray, length: int) -> np.ndarray:
+    """What stands for the ``length`` symbols that end at each place: the symbol itself, or the run's hash."""
+    return symbols if length == 1 else runs(symbols, length)
 
-    def step(ids: list, texts: list[bytes]) -> tuple:
-        symbols, begins, place = sequences([t for t, out in zip(texts, _is_held(ids), strict=True) if not out])
-        known = shorter.value
-        inside = _among(known, runs(symbols, length - 1)) & (place >= length - 2)
-        both = np.flatnonzero(inside[1:] & inside[:-1] & (place[1:] >= length - 1)) + 1
-        codes, unique = pd.factorize(runs(symbols, length)[both])
-        return unique, np.bincount(codes, minlength=len(unique)).astype(np.int64)
 
-    return step
+def _count_runs(length: int, shorter):
+    """Counts runs whose both shorter runs pass the filter ``shorter``; each with its context and its suffix."""
+    schema = pa.schema([(n, pa.int64()) for n in ("key", "context", "suffix", "n")])
 
+    def summed(held: list[tuple]) -> tuple:
+        keys, context, suffix, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        codes, unique = pd.factorize(keys)
+        first = np.empty(len(unique), dtype=np.int64)
+        first[codes] = np.arange(len(codes))
+        return unique, context[first], suffix[first], np.bincount(codes, n, minlength=len(unique)).astype(np.int64)
 
-def _among(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    if not len(known) or not len(keys):
-        return np.zeros(len(keys), dtype=bool)
-    codes, unique = pd.factorize(keys)
-    i = np.minimum(np.searchsorted(known, unique), len(known) - 1)
-    return (known[i] == unique)[codes]
-
-
-class Tree:
-    """contexts[d]: sorted hashes of kept contexts of d + 1 symbols, their totals and what they give on; strings[d]: their runs."""
-
-    def __init__(self) -> None:
-        self.contexts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.strings: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def adjust(self, symbols: np.ndarray, place: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Probabilities in the tree of symbols whose unigram probabilities are ``p``; linear in p where a run isn't known."""
-        p = p.copy()
-        live = np.flatnonzero(place >= 1)
-        for d, ((contexts, totals, rest), (strings, counts)) in enumerate(zip(self.contexts, self.strings, strict=True)):
-            live = live[place[live] > d]
-            if not len(live) or not len(contexts):
-                break
-            own = runs(symbols, d + 1)[live - 1]
-            i = np.minimum(np.searchsorted(contexts, own), len(contexts) - 1)
-            found = contexts[i] == own
-            live, i = live[found], i[found]  # kept contexts have kept suffixes, so others need no longer look-up
-            run = runs(symbols, d + 2)[live]
-            j = np.minimum(np.searchsorted(strings, run), max(0, len(strings) - 1))
-            count = np.where(strings[j] == run, counts[j], 0) if len(strings) else np.zeros(len(run))
-            p[live] = (count + rest[i] * p[live]) / (totals[i] + PRIOR)
-        return p
-
-
-def grow(levels: list[dict[int, float]], members: list[dict[int, tuple[int, int, int]]], unigram: dict[int, float]) -> Tree:
-    """levels[d]: counts of runs of d + 1 symbols; members[d]: run -> (context, suffix context, last symbol)."""
-    tree = Tree()
-    kept: list[set[int]] = []
-    probability: dict[tuple[int, int], float] = {}  # (context, symbol) of counted runs
-
-    def parent_p(suffix: int, symbol: int, depth: int) -> float:
-        return unigram[symbol] if depth == 0 else probability.get((suffix, symbol), 0.0)
-
-    for d in range(1, len(levels)):
-        own: dict[int, list[tuple[int, int, float]]] = {}
-        for run, n in levels[d].items():
-            context, suffix, symbol = members[d][run]
-            own.setdefault(context, []).append((suffix, symbol, n))
-        keep = set()
-        for context, found in own.items():
-            total = levels[d - 1].get(context)
-            if total is None:
-                continue
-            rest = max(0.0, total - sum(n for *_, n in found)) + PRIOR
-            gain = (rest - PRIOR) * np.log(rest / (total + PRIOR))
-            for suffix, symbol, n in found:
-                before = parent_p(suffix, symbol, d - 1)
-                p = (n + rest * before) / (total + PRIOR)
-                probability[context, symbol] = p
-                gain += n * np.log(p / max(before, 1e-12))
-            if gain >= MIN_GAIN:
-                keep.add(context)
-        kept.append(keep)
-    for d in range(len(kept) - 1, 0, -1):
-        for run, (context, suffix, _) in members[d + 1].items():
-            if context in kept[d]:
-                kept[d - 1].add(suffix)
-    for d, keep in enumerate(kept):
-        sums: dict[int, float] = {}
-        for run, n in levels[d + 1].items():
-            context = members[d + 1][run][0]
-            sums[context] = sums.get(context, 0.0) + n
-        contexts = np.array(sorted(keep), dtype=np.uint64)
-        totals = np.array([levels[d].get(int(c), sums.get(int(c), 0.0)) for c in contexts])
-        rest = np.array([max(0.0, t - sums.get(int(c), 0.0)) + PRIOR for c, t in zip(contexts, totals, strict=True)])
-        strings = sorted((run, n) for run, n in levels[d + 1].items() if members[d + 1][run][0] in keep)
-        tree.contexts.append((contexts, totals, rest))
-        tree.strings.append((np.array([r for r, _ in strings], dtype=np.uint64), np.array([n for _, n in strings], dtype=np.float64)))
-    return tree
-
-
-def _members(length: int, wanted):
-    """For each wanted run: its context, its suffix context and its last symbol, from the texts that have it."""
-    schema = pa.schema([(n, pa.int64()) for n in ("run", "context", "suffix", "symbol")])
+    def send(held: tuple) -> pa.RecordBatch:
+        return batch_of(schema, [pa.array(x.view(np.int64)) for x in held])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = set(wanted.value.tolist())
+    def run(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for ids, texts in steps(batches):
-            if not left:
-                continue
             symbols, _, place = sequences([t for t, out in zip(texts, _is_held(ids), strict=True) if not out])
-            h = runs(symbols, length)
-            at = np.flatnonzero(_among(wanted.value, h) & (place >= length - 1))
-            unique, first = np.unique(h[at], return_index=True)
-            new = np.array([u in left for u in unique.tolist()], dtype=bool)
-            if new.any():
-                left -= set(unique[new].tolist())
-                at = at[first[new]]
-                suffix = runs(symbols, length - 2)[at - 1] if length > 2 else np.zeros(len(at), np.uint64)
-                yield batch_of(schema, [pa.array(x.view(np.int64)) for x in (unique[new], runs(symbols, length - 1)[at - 1], suffix, symbols[at])])
+            keys = _keys(symbols, length - 1)
+            inside = _maybe(shorter.value, keys) & (place >= length - 2)
+            both = np.flatnonzero(inside[1:] & inside[:-1] & (place[1:] >= length - 1)) + 1
+            held.append(summed([(runs(symbols, length)[both], keys[both - 1], keys[both], np.ones(len(both), np.int64))]))
+            if len(held) >= 8:
+                held = [summed(held)]
+                if len(held[0][0]) > most:
+                    yield send(held.pop())
+        if held:
+            yield send(summed(held))
 
     return run
 
 
-def _scores(tree, frequent, end: float):
-    """Per text: the base's part of frequent words, the tree's gain over the base, and the hashes of its other words."""
-    schema = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("gain", pa.float64()), ("known", pa.int64()), ("part", pa.float64()), ("rest", pa.list_(pa.int64()))])
+def _bits(keys: DataFrame, also: tuple = ()) -> np.ndarray:
+    """A filter that all ``keys`` pass; of a fixed size."""
+    at = keys.select(F.expr(f"key & {FILTER_BITS - 1}L").alias("at"))
+    found = at.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    for key in also:
+        key = int(key) & (FILTER_BITS - 1)
+        out[key >> 6] |= np.uint64(1 << (key & 63))
+    return out
+
+
+def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64(FILTER_BITS - 1)
+    return ((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def _found(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key would be among the sorted ``known``, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+    i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return i, known[i] == keys
+
+
+def grown(spark: SparkSession, docs: DataFrame, first: DataFrame, depth: int, hot_least: float) -> tuple[DataFrame, DataFrame]:
+    """(key, value, hot) of the tree's runs and contexts, and the keys of other frequent runs.
+
+    first: (key, n, p, hot) of single symbols. A run's value is what it adds as a
+    run to what its context gives on, a context's is what it gives on; log10.
+    """
+    counted, contexts, made = [], [], len(MADE)
+
+    def drop(paths: list[str]) -> None:
+        drop_stashes(spark, paths)
+        MADE[:] = [p for p in MADE if p not in paths]
+        release(spark)
+
+    before = first
+    for length in range(2, depth + 2):
+        also = (START, END) if length == 2 else ()
+        shorter = spark.sparkContext.broadcast(_bits(before.where(F.col("n") >= MIN_COUNT), also))
+        found = in_arrow(docs, _count_runs(length, shorter), "key long, context long, suffix long, n long")
+        found = found.groupBy("key").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
+        found = stash(spark, found, f"runs-{length}")
+        done = MADE[-1:]
+        release(spark)
+        own = found.groupBy("context").agg(F.sum("n").alias("inside")).join(before.select(F.col("key").alias("context"), F.col("n").alias("total"), "hot"), "context")
+        own = stash(spark, own.select("context", "total", "hot", (F.greatest(F.lit(0.0), F.col("total") - F.col("inside")) + PRIOR).alias("rest")), f"contexts-{length}")
+        done += MADE[-1:]
+        p = (F.col("n") + F.col("rest") * F.col("before")) / (F.col("total") + PRIOR)
+        found = found.join(before.select(F.col("key").alias("suffix"), F.col("p").alias("before")), "suffix").join(own.drop("hot"), "context")
+        on = F.log10(F.col("rest") / (F.col("total") + PRIOR))
+        found = found.withColumn("p", p).select("key", "context", "suffix", "n", "p", (F.log10(F.col("p")) - F.log10("before")).alias("more"), on.alias("on"), (F.col("n") >= hot_least).alias("hot"))
+        found = stash(spark, found, f"counted-{length}")
+        gain = found.groupBy("context").agg(F.sum(F.col("n") * F.col("more")).alias("gain"))
+        own = own.join(gain, "context").withColumn("on", on)
+        own = own.withColumn("gain", (F.col("gain") + (F.col("rest") - PRIOR) * F.col("on")) * float(np.log(10)))
+        contexts.append(stash(spark, own.select("context", "on", "hot", "gain"), f"gains-{length}"))
+        counted.append(found)
+        before = found
+        drop(done)
+    values, frequent, longer = [], [], None
+    for d in range(depth - 1, -1, -1):
+        keep = contexts[d].where(F.col("gain") >= MIN_GAIN).select("context")
+        if longer is not None:  # the suffixes of kept contexts stay
+            keep = keep.union(counted[d].join(longer.withColumnRenamed("context", "key"), "key", "left_semi").select(F.col("suffix").alias("context"))).distinct()
+        longer = keep = stash(spark, keep, f"kept-{d}")
+        values.append(counted[d].join(keep, "context", "left_semi").select("key", (F.col("more") - F.col("on")).alias("value"), "hot"))
+        values.append(contexts[d].join(keep, "context", "left_semi").select(F.col("context").alias("key"), F.col("on").alias("value"), "hot"))
+        frequent.append(counted[d].where("hot").select("key"))
+        release(spark)
+    union = lambda x: x[0] if len(x) == 1 else x[0].unionAll(union(x[1:]))
+    values, frequent, done = stash(spark, union(values), "values"), stash(spark, union(frequent), "frequent"), MADE[made:-2]
+    drop(done)
+    return values, frequent
+
+
+def _scores(hot, likely, frequent, end: float, depth: int):
+    """Per text: the base's part of frequent words, the tree's gain by frequent runs, and the hashes of its other words and of the runs that may have values."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("gain", pa.float64()), ("known", pa.int64()), ("part", pa.float64()), ("rest", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, serial = uuid.uuid4().hex, 0
+        serial = TaskContext.get().partitionId() << 36
         keys, known, logs = frequent.value
+        hot_keys, hot_values = hot.value
         for ids, texts in steps(batches):
             symbols, begins, place = sequences(texts)
             codes, unique = pd.factorize(symbols)
-            i = np.minimum(np.searchsorted(keys, unique), max(0, len(keys) - 1))
-            found = keys[i] == unique if len(keys) else np.zeros(len(unique), dtype=bool)
+            i, found = _found(keys, unique)
             outer = (unique == START) | (unique == END)
             value = np.where(found, logs[i], 0.0) if len(keys) else np.zeros(len(unique))
             value[unique == END] = end
             seen = np.where(found, known[i], 0) if len(keys) else np.zeros(len(unique), dtype=np.int64)
-            log_p = value[codes]
-            gain = np.log10(tree.value.adjust(symbols, place, np.power(10.0, log_p))) - log_p
-            gain[place == 0] = 0.0
+            gain, rest, asked = np.zeros(len(symbols)), [symbols], [(~found & ~outer)[codes]]
+            for length in range(1, depth + 2):
+                h = _keys(symbols, length)
+                at = np.flatnonzero(_maybe(likely.value, h) & (place >= length - 1))
+                own, of = pd.factorize(h[at])
+                i, found = _found(hot_keys, of)
+                if len(hot_keys):
+                    gain[at] += np.where(found, hot_values[i], 0.0)[own]
+                if length > 1:
+                    mask = np.zeros(len(symbols), dtype=bool)
+                    mask[at[~found[own]]] = True
+                    rest.append(h)
+                    asked.append(mask)
             sums = lambda x: np.add.reduceat(x, begins[:-1])
-            rare = (~found & ~outer)[codes]
-            counts = np.diff(np.concatenate(([0], np.cumsum(rare)))[begins])
-            rest = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(symbols[rare].view(np.int64)))
-            rows = [f"{own}-{serial + k}" for k in range(len(ids))]
+            asked = np.stack(asked, axis=1)
+            counts = sums(asked.sum(axis=1))
+            rest = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(np.stack(rest, axis=1)[asked].view(np.int64)))
+            rows = serial + np.arange(len(ids))
             serial += len(ids)
-            yield batch_of(schema, [rows, ids, pa.array(np.diff(begins) - 1), pa.array(sums(gain)), pa.array(sums(seen[codes])), pa.array(sums(log_p)), rest])
+            yield batch_of(schema, [pa.array(rows), ids, pa.array(np.diff(begins) - 1), pa.array(sums(gain)), pa.array(sums(seen[codes])), pa.array(sums(value[codes])), rest])
 
     return run
 
@@ -276,36 +291,28 @@ def scored(spark: SparkSession, docs: DataFrame, min_share: float = MIN_SHARE, d
     keys = keys[order]
     frequent = spark.sparkContext.broadcast((keys, (train > 0).astype(np.int64), np.log10((train + 0.5) / below)))
 
-    as_int = lambda x: np.asarray(x, dtype=np.int64).view(np.uint64)
-    known = {int(k): float(n) for k, n in zip(keys, train, strict=True) if n >= least} | {int(START): float(n_train), int(END): float(n_train)}
-    unigram = {k: (n + 0.5) / below for k, n in known.items()}
-    one = np.array(list(known), dtype=np.uint64)
-    levels, members = [{int(r): known[int(k)] for k, r in zip(one, runs_of_one(one), strict=True)}], [{}]
-    two = pa.schema([("key", pa.int64()), ("n", pa.int64())])
-    for length in range(2, depth + 2):
-        shorter = spark.sparkContext.broadcast(np.array(sorted(levels[-1]), dtype=np.uint64))
-        counted = in_arrow(docs, _in_tasks(_count_runs(length, shorter), two), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
-        level = {int(k): float(n) for k, n in zip(as_int(counted.key), counted.n, strict=True)}
-        if not level:
-            break
-        wanted = spark.sparkContext.broadcast(np.array(sorted(level), dtype=np.uint64))
-        told = in_arrow(docs, _members(length, wanted), "run long, context long, suffix long, symbol long").groupBy("run").agg(*(F.min(c).alias(c) for c in ("context", "suffix", "symbol"))).toPandas()
-        columns = [as_int(told[c]).tolist() for c in ("run", "context", "suffix", "symbol")]
-        members.append({r: (c, s, w) for r, c, s, w in zip(*columns, strict=True)})
-        levels.append({r: n for r, n in level.items() if r in members[-1]})
-    tree = spark.sparkContext.broadcast(grow(levels, members, unigram))
-
-    part = in_arrow(docs, _scores(tree, frequent, end), "row string, doc_id long, n_tokens long, gain double, known long, part double, rest array<long>")
+    known = ((START, n_train), (END, n_train))
+    p = (F.col("n") + 0.5) / F.lit(below)
+    first = words.where("train > 0").select("key", F.col("train").alias("n"), (F.col("every") >= least).alias("hot")).unionAll(
+        spark.createDataFrame([(int(k.view(np.int64)), n, True) for k, n in known], "key long, n long, hot boolean")
+    ).select("key", "n", p.alias("p"), "hot")
+    values, runs_known = grown(spark, docs, first, depth, max(float(MIN_COUNT), total * HOT_SHARE))
+    often = values.where("hot").select("key", "value").unionAll(runs_known.select("key", F.lit(0.0).alias("value"))).groupBy("key").agg(F.sum("value").alias("value")).toArrow()
+    keys = often["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    hot = spark.sparkContext.broadcast((keys[order], often["value"].to_numpy()[order]))
+    likely = spark.sparkContext.broadcast(_bits(values))
+
+    part = in_arrow(docs, _scores(hot, likely, frequent, end, depth), "row long, doc_id long, n_tokens long, gain double, known long, part double, rest array<long>")
     part = stash(spark, part, "parts")
+    release(spark)
     value = F.log10((F.col("train") + 0.5) / F.lit(below))
-    rare = words.where(F.col("every") < least).select("key", value.alias("value"), (F.col("train") > 0).cast("long").alias("is_known"))
-    more = part.select("row", F.explode("rest").alias("key")).join(rare, "key").groupBy("row").agg(F.sum("value").alias("value"), F.sum("is_known").alias("more"))
+    rare = words.where(F.col("every") < least).select("key", value.alias("value"), (F.col("train") > 0).cast("long").alias("is_known"), F.lit(0.0).alias("adds"))
+    rare = rare.unionAll(values.where("not hot").select("key", F.lit(0.0).alias("value"), F.lit(0).cast("long").alias("is_known"), F.col("value").alias("adds")))
+    rare = rare.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("value", "is_known", "adds")))
+    more = part.select("row", F.explode("rest").alias("key")).join(rare.hint("merge"), "key").groupBy("row").agg(F.sum("value").alias("value"), F.sum("is_known").alias("more"), F.sum("adds").alias("adds"))
     base = F.col("part") + F.coalesce("value", F.lit(0.0))
     return part.drop("rest").join(more, "row", "left").select(
         "doc_id", held.alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0)) + int(n_train > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        base.alias("base_score"), (base + F.col("gain")).alias("score"),
+        base.alias("base_score"), (base + F.col("gain") + F.coalesce("adds", F.lit(0.0))).alias("score"),
     )
-
-
-def runs_of_one(symbols: np.ndarray) -> np.ndarray:
-    return runs(symbols, 1)

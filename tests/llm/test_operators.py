@@ -103,6 +103,50 @@ def test_language_model(spark):
     assert scored(spark, docs(spark).limit(0)).count() == 0
 
 
+def test_language_model_whole_tree(spark):
+    """Every run seen twice counts, whatever share of the input it is; held against a model of tuples."""
+    from math import log
+
+    from lodestrata.llm.suffix_tree_lm import MIN_GAIN, PRIOR, scored
+
+    texts = {i: (TEXTS.get(i) if i in TEXTS else prose(60, i % 11) + " end") for i in range(1, 60)}
+    texts |= {i: " ".join(f"{a} b c {a}{a} " + prose(3, i * 9 + k) for k, a in enumerate("adadda")) for i in range(60, 75)}
+    lines = {i: ["<", *words(t), ">"] for i, t in texts.items()}
+    train = [s for i, s in lines.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    n = [Counter(tuple(s[k : k + size]) for s in train for k in range(len(s) - size + 1)) for size in range(1, 5)]
+    total = sum(n[0].values()) - len(train)
+    uni = {r: (n[0][r] + 0.5) / (total + 0.5 * len(n[0])) for r in {(w,) for s in lines.values() for w in s}}  # the start isn't a word, unseen words count as one
+    p, rest, keep = dict(uni), {}, set()
+    for size in (2, 3, 4):
+        runs = {r: c for r, c in n[size - 1].items() if c >= 2}
+        inside = Counter()
+        for r, c in runs.items():
+            inside[r[:-1]] += c
+        gain = {}
+        for r in inside:
+            rest[r] = n[size - 2][r] - inside[r] + PRIOR
+            gain[r] = (rest[r] - PRIOR) * log(rest[r] / (n[size - 2][r] + PRIOR))
+        for r, c in runs.items():
+            p[r] = (c + rest[r[:-1]] * p[r[1:]]) / (n[size - 2][r[:-1]] + PRIOR)
+            gain[r[:-1]] += c * log(p[r] / p[r[1:]])
+        keep |= {r[k:] for r, g in gain.items() if g >= MIN_GAIN for k in range(len(r))}
+    want = {}
+    for i, s in lines.items():
+        want[i] = 0.0
+        for at in range(1, len(s)):
+            q = uni[(s[at],)]
+            for size in (1, 2, 3):
+                context = tuple(s[max(0, at - size) : at])
+                if len(context) < size or context not in keep:
+                    break
+                c = n[size][(*context, s[at])]
+                q = ((c if c >= 2 else 0) + rest[context] * q) / (n[size - 1][context] + PRIOR)
+            want[i] += log10(q)
+    assert any(len(r) == 3 for r in keep)
+    got = {r.doc_id: r.score for r in scored(spark, docs(spark, texts), min_share=0.05).collect()}
+    assert got == pytest.approx(want)
+
+
 def brute_spans(texts, span=50):
     data = {i: (t or "").encode() for i, t in texts.items()}
     first = {}
