@@ -235,6 +235,34 @@ def test_url_filter(spark):
     assert Segmenter({"some": 50, "words": 40, "here": 9, "so": 3}).split("somewordshere") == ("some", "words", "here")
 
 
+def test_url_filter_rare_words(spark):
+    """Words and tokens of any share count; held against the same models over dicts."""
+    from math import log
+
+    from lodestrata.llm.url_filter import Segmenter, filtered
+
+    r = random.Random(9)
+    rows = [(i, f"http://{r.choice(WORDS)}{r.choice(WORDS)}.{r.choice(['com', 'net', 'org', 'io'])}/{r.choice(['en', 'de', 'es'])}/{i}/{r.choice(WORDS)}-{r.choice(WORDS)}{i % 7 and 'qqx'}", f"<title>{prose(3, i)}</title>") for i in range(300)]
+    rows += [(None, None, None), (5, "x", "")]
+    got = filtered(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), min_share=0.02).collect()
+    assert len(got) == len(rows)
+    c = Counter(w for *_, h in rows if h for w in h[7:-8].split())
+    segmenter = Segmenter({w: n for w, n in c.items() if n >= 2})
+    tokens, seen, pages = {}, {"allow": Counter(), "block": Counter()}, Counter()
+    for x in got:
+        found = [(m, run) for m, text in (("h:", x.host), ("p:", x.path.lower())) for run in re.findall(r"[^\W\d_]+|\d+", text)]
+        tokens[x.host, x.path] = [t for m, run in found for t in ([f"{m}#{min(len(run), 4)}"] if run.isdigit() else [m + w for w in segmenter.split(run)])]
+        if x.rule:
+            seen[x.verdict].update(tokens[x.host, x.path])
+            pages[x.verdict] += 1
+    size = len({*seen["allow"], *seen["block"]}) + 1
+    weight = lambda t, k: log((seen[k][t] + 1) / (sum(seen[k].values()) + size))
+    for x in got:
+        want = log((pages["block"] + 1) / (pages["allow"] + 1)) + sum(weight(t, "block") - weight(t, "allow") for t in tokens[x.host, x.path])
+        assert x.block_score == pytest.approx(want) and (x.rule or x.verdict == ("block" if want > 0 else "allow"))
+    assert any(len(x.host.split(".")[0]) > 8 and len(tokens[x.host, x.path]) > 4 for x in got)
+
+
 def test_toxicity(spark):
     from lodestrata.llm.toxicity import Field, scored
 
