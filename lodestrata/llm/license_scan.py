@@ -21,6 +21,7 @@ text are read.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -114,6 +115,20 @@ class SuffixAutomaton:
         return (0, 0) if to is None else (to, length + 1)
 
 
+def _outside(piece: tuple[int, int, int], firsts: list[int], spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """What of a piece lies outside of ``spans`` (first word, next word), sorted, which begin at ``firsts``."""
+    start, at, size = piece
+    here, end = start, start + size
+    for first, after, _ in spans[max(0, bisect.bisect_right(firsts, start) - 1) :]:
+        if first >= end:
+            break
+        if first > here:
+            yield here, at + here - start, first - here
+        here = max(here, after)
+    if here < end:
+        yield here, at + here - start, end - here
+
+
 class Scanner:
     def __init__(self, templates=TEMPLATES, phrases=PHRASES, min_match: int = MIN_MATCH, max_gap: int = MAX_GAP, min_coverage: float = MIN_COVERAGE) -> None:
         self.templates = [(label, text.encode().split()) for label, text in templates]
@@ -137,7 +152,7 @@ class Scanner:
             self.closes.append(found)
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[str, int, int, float]]]:
-        """(start, label) of the phrases' places; (label, first word, last word, coverage) of the best span per template."""
+        """(start, label) of the phrases' places; (label, first word, last word, coverage) of each template's spans."""
         ids, step, closes, ends, least = self.ids, self.automaton.step, self.closes, self.automaton.ends, self.min_match
         places: list[tuple[int, str]] = []
         pieces: dict[int, list[tuple[int, int, int]]] = {}
@@ -158,28 +173,48 @@ class Scanner:
             before = i
         if length >= least:
             self._pieces(pieces, state, length, before)
-        return places, [span for t, found in sorted(pieces.items()) if (span := self._chain(t, found))]
+        return places, [span for t, found in sorted(pieces.items()) for span in self._spans(t, found)]
 
     def _pieces(self, pieces: dict, state: int, length: int, end: int) -> None:
         for t, at in self.automaton.ends[state]:
             if t < len(self.templates):
                 pieces.setdefault(t, []).append((end - length + 1, at - length + 1, length))
 
-    def _chain(self, t: int, pieces: list[tuple[int, int, int]]) -> tuple[str, int, int, float] | None:
-        """The chain that covers most of template ``t``."""
+    def _spans(self, t: int, pieces: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
+        """Chains that cover enough of template ``t``, those that cover most first chosen, none overlapping; in the text's order."""
         label, words = self.templates[t]
+        spans: list[tuple[int, int, int]] = []
+        while pieces:
+            chosen: list[tuple[int, int, int]] = []
+            firsts: list[int] = []
+            for covered, first, end, _ in sorted(self._chains(pieces), reverse=True):
+                if covered / len(words) < self.min_coverage:
+                    break
+                i = bisect.bisect_left(firsts, first)
+                if (i == 0 or chosen[i - 1][1] <= first) and (i == len(firsts) or end <= firsts[i]):
+                    firsts.insert(i, first)
+                    chosen.insert(i, (first, end, covered))
+            if not chosen:
+                break
+            spans += chosen
+            pieces = [left for piece in pieces for left in _outside(piece, firsts, chosen)]  # a chain through chosen words can have hidden another
+        return [(label, first, end - 1, covered / len(words)) for first, end, covered in sorted(spans)]
+
+    def _chains(self, pieces: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """For each piece the chain up to it that covers most: covered, first word, next word, next template word."""
         pieces.sort()
-        chains: list[tuple[int, int, int, int]] = []  # covered, first word, next word, next template word
+        chains: list[tuple[int, int, int, int]] = []
+        near: list[tuple[int, int, int, int]] = []  # not too far before the current piece
         for start, at, size in pieces:
             best = (size, start, start + size, at + size)
-            for covered, first, end, template_end in chains[-16:]:
+            near = [c for c in near if start - c[2] <= self.max_gap]
+            for covered, first, end, template_end in near:
                 cut = max(end - start, template_end - at, 0)
                 if cut < size and start + cut - end <= self.max_gap and at + cut - template_end <= self.max_gap and covered + size - cut > best[0]:
                     best = (covered + size - cut, first, start + size, at + size)
             chains.append(best)
-        covered, first, end, _ = max(chains)
-        share = covered / len(words)
-        return (label, first, end - 1, share) if share >= self.min_coverage else None
+            near.append(best)
+        return chains
 
     def row(self, text: bytes) -> tuple:
         words = text.translate(_WORDS).split()

@@ -74,6 +74,22 @@ def test_licences(spark):
             assert r.labels == "mit"
 
 
+def test_licence_spans():
+    from lodestrata.llm.license_scan import TEMPLATES, Scanner
+
+    label, text = TEMPLATES[0]
+    notice = text.encode().split()
+    words, want = [], []
+    for k in range(5):
+        words += [f"filler{i}".encode() for i in range(200 * (k % 2))]
+        want.append((label, len(words), len(words) + len(notice) - 1, 1.0))
+        words += notice
+    assert [s for s in Scanner().scan(words)[1] if s[0] == label] == want
+    run = "alpha beta gamma delta"
+    scanner = Scanner(templates=[("own", " ".join(f"{run} u{i}" for i in range(30)))], min_match=4, max_gap=3, min_coverage=0.5)
+    assert scanner.scan(" ".join(f"{run} v{i}" for i in range(30)).encode().split())[1] == [("own", 0, 148, 0.8)]
+
+
 def test_decontamination(spark):
     from lodestrata.llm.decontaminate import contaminated
 
