@@ -83,3 +83,9 @@ def test_agent_and_switch(found):
 
 def test_literal_sink(found):
     assert found[10, TAINT] == {("go", "run2", "par")} and {("go", "run1"), ("go", "run2")} <= found[10, DANGER]
+
+
+def test_single_skill(spark):
+    texts = [(1, "skill(k).\n"), (2, "action(go, k).\n"), (3, "skill(k).\nskill(k).\n"), (4, "skill(k).\nskill(l).\n")]
+    facts = scan(spark.createDataFrame(texts, "p long, text string"))
+    assert {tuple(r) for r in audit(facts, "check_single").collect()} == {(2, "SDL005", 0), (3, "SDL005", 2), (4, "SDL005", 2)}
