@@ -7,12 +7,14 @@ folder named by ``spark.checkpoint.dir`` through Spark's own writers.
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,11 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the cluster names none (tests)."""
+    """The folder all executors share; a temporary one only where none is named and all run on this machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         found = spark.sparkContext.getCheckpointDir()
         if found is None:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestrata-"))
             found = spark.sparkContext.getCheckpointDir()
         return found
@@ -38,24 +42,68 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-#: Paths that ``stash`` wrote, so that callers who know that they are done with them can drop them.
-MADE: list[str] = []
+#: Paths that ``stash`` wrote in this thread of work, so that callers who know that they are done with them can drop them.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+#: The names of those that are tables.
+_TABLES: dict[str, str] = {}
+
+
+def made() -> list[str]:
+    if _MADE.get() is None:
+        _MADE.set([])
+    return _MADE.get()
 
 
 def drop_stashes(spark: SparkSession, paths: list[str]) -> None:
     """Deletes written tables through Spark's file systems."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
+    for p in list(paths):
+        if p in _TABLES:
+            spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop(p)}")
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
+        if p in made():
+            made().remove(p)
 
 
-def stash(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` as Parquet in the shared folder and reads it again."""
+def stash(spark: SparkSession, df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
+    """Cuts lineage: writes ``df`` as Parquet in the shared folder and reads it again. With ``bucket`` rows stay
+    dealt by that column, as the session deals shuffles, so that joins by it needn't move them."""
     path = f"{shared_dir(spark).rstrip('/')}/lodestrata/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    MADE.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made().append(path)
+    if bucket is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    _TABLES[path] = f"lodestrata_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), bucket).format("parquet").option("path", path).saveAsTable(_TABLES[path])
+    return spark.table(_TABLES[path])
+
+
+def text_key(text: Column | str = "text") -> Column:
+    """What stands for a text where only equal texts may share it: half of its SHA-256, 16 bytes."""
+    return F.unhex(F.substring(F.sha2(F.encode(text, "UTF-8"), 256), 1, 32))
+
+
+#: Keys that more than such a part of all rows have are fewer than this, so they can be broadcast.
+HOT = 1000
+
+
+def spread_join(rows: DataFrame, known: DataFrame, key: str, total: int) -> DataFrame:
+    """Left join of ``rows`` to ``known(key, n, ...)``, one row a key, n the number of rows that have it. Keys with over a
+    ``HOT``-th of ``total`` are joined by broadcast, so that no task gets all rows of one. ``rows`` is read twice."""
+    hot = known.where(f"n > 1 and n * {HOT} > {total}").drop("n").withColumn("is_hot", F.lit(True))
+    both = rows.join(F.broadcast(hot), key, "left")
+    others = both.where("is_hot is null").select(*rows.columns).join(known.drop("n"), key, "left")
+    return both.where("is_hot").drop("is_hot").unionByName(others)
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text aren't among those of ``gone(doc_id, t)``, t as of ``text_key``. Null
+    ids match null ids; columns of any name stay as they are."""
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rows.columns)))
+    keyed = rows.select(row.alias("row"), F.col("doc_id").try_cast("long").alias("own_id"), text_key(F.coalesce("text", F.lit(""))).alias("own_t"))
+    left = keyed.join(gone.hint("shuffle_hash"), F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_t") == F.col("t")), "left_anti")
+    return left.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(rows.columns)))
 
 
 def release(spark: SparkSession) -> None:
@@ -73,7 +121,7 @@ def settle(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 def text_docs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the two columns that matter, so that extra columns can't clash; null texts become empty."""
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return docs.select(F.col(key).try_cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
 def bytes_of(column: pa.Array) -> list[bytes]:
@@ -99,11 +147,17 @@ def steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> Iterato
             begin = end
 
 
+#: Rows and bytes that a batch for Python holds at most; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
 def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow with batches that stay small even when texts are long."""
+    """mapInArrow with batches that stay small even when texts are long. Spark reads the bounds when the plan runs, so
+    they stay set in the session."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(function, schema)
 
 

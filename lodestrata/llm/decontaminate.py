@@ -10,28 +10,40 @@ the threshold are skipped, in the others WAND pivots over the postings find ever
 item at or above it. An item then counts if enough of the word runs of both its
 question and its answer are in the passage.
 
-The index is broadcast in shards of ``SHARD_ITEMS`` items, each of bounded size;
-more items mean more shards, not larger ones.
-
-Edge cases: null and empty texts match nothing; items without words are left
-out; items of a few words must be there in full; equal items match alike; rows
-that repeat a doc_id give one row per item; an empty table on either side gives
-an empty result; only doc_id, item_id and text are read.
+All words of a step of texts are hashed and looked up at once, and the bounds of
+its blocks are sums over slices of an array; only pairs above the threshold reach
+WAND, and only verified passages are cut into words again, so a collision of two
+64-bit hashes can't flag a text.
+
+Document frequencies are counted by Spark. The driver builds the index in shards
+of ``SHARD_ITEMS`` items until ``PASS_BYTES`` are full; those are broadcast together
+and searched in one pass over the documents. More items mean more passes, not
+larger broadcasts: about 8,000 items are one.
+
+Edge cases: null and empty texts match nothing, nor do items without words; items
+of a few words must be there in full; equal items of different ids match alike,
+repeated rows of one are one item; an item_id that is no number counts as null; of
+passages that score alike the first is given; a row that repeats a doc_id gives its
+own row per item; a text of any length is searched as a whole, in slices; an empty
+table on either side gives an empty result; only doc_id, item_id and text are read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import batch_of, empty, in_arrow, steps, text_docs
+from lodestrata.llm.common import batch_of, empty, in_arrow, stash, steps, text_docs, without
+from lodestrata.llm.hashing import hashed_words
 
 K1, B = 1.2, 0.75
 #: Share of its own score that an item must reach.
@@ -39,14 +51,16 @@ THRESHOLD = 0.5
 #: Share of the word runs of question and answer that must be in the passage.
 MIN_OVERLAP = 0.5
 RUN = 3
-ITEM_BLOCK = 8
+ITEM_BLOCK = 2
 SHARD_ITEMS = 512
+#: About so many bytes of index are broadcast for one pass.
+PASS_BYTES = 128 << 20
 MIN_TEXT_BLOCK = 64
-#: Text blocks whose bounds are held at once.
-SLICE = 256
+#: Pairs of a text block and a term whose maxima are summed at once.
+SLICE = 20_000
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-RESULT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long, last_word long"
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
+RESULT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long, last_word long, t binary"
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("t", pa.binary())])
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -69,30 +83,30 @@ def runs_of(words: list[bytes], n: int) -> set[tuple[bytes, ...]]:
 
 
 class Index:
-    """One shard."""
+    """One shard: items as (item_id, text, document frequency of each word)."""
 
-    def __init__(self, items: list[tuple[int, str]], document_frequency: Counter, n_items: int, mean_length: float) -> None:
-        self.items = [i for i, _ in items]
-        words = [words_of(t.encode()) for _, t in items]
-        self.parts = [question_and_answer(t) for _, t in items]
+    def __init__(self, items: list[tuple[int, str, dict[bytes, int]]], n_items: int, mean_length: float) -> None:
+        self.items = [i for i, *_ in items]
+        words = [words_of(t.encode()) for _, t, _ in items]
+        self.parts = [question_and_answer(t) for _, t, _ in items]
         self.text_block = max(MIN_TEXT_BLOCK, max(map(len, words)))
-        self.terms: dict[bytes, int] = {}
-        self.postings: list[dict[int, list[tuple[int, float]]]] = []  # of a term by item block: (item, impact)
-        for item, own in enumerate(words):
-            raw = {}
-            for w, tf in Counter(own).items():
-                df = document_frequency[w]
-                raw[w] = math.log(1 + (n_items - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(own) / mean_length))
-            total = sum(raw.values())
+        names = sorted({w for own in words for w in own})
+        hashes, _ = hashed_words(names, lower=False)
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        number = {names[k]: t for t, k in enumerate(order.tolist())}
+        self.postings: list[dict[int, list[tuple[int, float]]]] = [{} for _ in names]  # of a term by item block: (item, impact)
+        self.most = np.zeros((len(names), -(-len(items) // ITEM_BLOCK)), dtype=np.float32)
+        for item, (own, (_, _, df)) in enumerate(zip(words, items, strict=True)):
+            raw = {w: math.log(1 + (n_items - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(own) / mean_length)) for w, tf in Counter(own).items()}
+            total, block = sum(raw.values()), item // ITEM_BLOCK
             for w, x in raw.items():
-                t = self.terms.setdefault(w, len(self.terms))
-                if t == len(self.postings):
-                    self.postings.append({})
-                self.postings[t].setdefault(item // ITEM_BLOCK, []).append((item, x / total))
-        self.most = np.zeros((len(self.terms), -(-len(items) // ITEM_BLOCK)), dtype=np.float32)
-        for t, blocks in enumerate(self.postings):
-            for b, found in blocks.items():
-                self.most[t, b] = max(x for _, x in found)
+                t = number[w]
+                self.postings[t].setdefault(block, []).append((item, x / total))
+                self.most[t, block] = max(self.most[t, block], x / total)
+
+    def size(self) -> int:
+        return self.most.nbytes + 200 * sum(map(len, self.postings))
 
     def wand(self, terms: list[int], block: int, threshold: float) -> list[tuple[int, float]]:
         """Items of an item block whose impacts over ``terms`` sum to the threshold or more."""
@@ -122,58 +136,93 @@ class Index:
             if score >= threshold - 1e-6:
                 out.append((pivot, score))
 
-    def search(self, words: list[bytes], threshold: float, min_overlap: float) -> dict[int, tuple]:
-        """item -> (score, overlaps, first and last word of the passage), the best passage of each verified item."""
-        size = self.text_block
-        ids = list(map(self.terms.get, words))
-        hits = np.array([i for i, t in enumerate(ids) if t is not None], dtype=np.int64)
-        best: dict[int, tuple] = {}
-        if not len(hits):
+    def search(self, words: np.ndarray, at: np.ndarray, exact, threshold: float, min_overlap: float) -> dict[tuple[int, int], tuple]:
+        """(text, item) -> (score, overlaps, first and last word of the passage), the best passage of each verified item.
+
+        ``words`` are hashes of the words of many texts, each beginning at its place in ``at``; ``exact`` gives a text's words.
+        """
+        size, best = self.text_block, {}
+        lengths = np.diff(at)
+        base = np.concatenate(([0], np.cumsum(-(-lengths // size) + 1)))  # a block without words ends each text
+        i = np.searchsorted(self.hashes, words)
+        i[i == len(self.hashes)] = 0
+        hits = np.flatnonzero(self.hashes[i] == words)
+        text = np.repeat(np.arange(len(lengths)), lengths)[hits]
+        key = np.sort((base[text] + (hits - at[text]) // size) * len(self.hashes) + i[hits])
+        if not len(key):
             return best
-        terms = np.array([t for t in ids if t is not None], dtype=np.int64)
-        n_terms, n_blocks = len(self.terms), -(-len(words) // size)
-        key = np.unique(hits // size * n_terms + terms)
-        block, term = key // n_terms, key % n_terms
-        for begin in range(0, n_blocks, SLICE):
-            low, high = np.searchsorted(block, (begin, begin + SLICE + 1))
-            if low == high:
-                continue
-            own, count = np.unique(block[low:high], return_index=True)
-            bounds = np.zeros((SLICE + 2, self.most.shape[1]), dtype=np.float32)
-            bounds[own - begin] = np.add.reduceat(self.most[term[low:high]], count, axis=0)
-            both = bounds[:SLICE] + bounds[1 : SLICE + 1]
-            for j, b in zip(*np.nonzero(both >= threshold - 1e-4), strict=True):
-                first = begin + int(j)
-                x, y = np.searchsorted(block, (first, first + 2))
-                for item, score in self.wand(np.unique(term[x:y]).tolist(), int(b), threshold):
-                    if item in best and best[item][0] >= score:
-                        continue
-                    passage = words[first * size : (first + 2) * size]
-                    overlaps = [self._overlap(part, passage) for part in self.parts[item]]
-                    if min(overlaps) >= min_overlap:
-                        best[item] = (score, *overlaps, first * size, min(len(words), (first + 2) * size) - 1)
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+        block, term = key // len(self.hashes), key % len(self.hashes)
+        edge = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+        own, stop = block[edge], np.concatenate((edge[1:], [len(key)]))
+        row = 0
+        while row < len(own):
+            # passages that start with one of these blocks, or with the empty one before it
+            end = max(row + 1, int(np.searchsorted(stop, edge[row] + SLICE, side="right")))
+            upto = min(end + 1, len(own))
+            sums = np.add.reduceat(self.most[term[edge[row] : stop[upto - 1]]], edge[row:upto] - edge[row], axis=0)
+            after = np.zeros((end - row, sums.shape[1]), dtype=np.float32)
+            follows = np.flatnonzero(own[row + 1 : upto] == own[row : upto - 1] + 1)
+            follows = follows[follows < end - row]
+            after[follows] = sums[follows + 1]
+            for j, b in zip(*np.nonzero(sums[: end - row] + after >= threshold - 1e-4), strict=True):
+                k = row + int(j)
+                last = k + (k + 1 < len(own) and own[k + 1] == own[k] + 1)
+                self._passage(best, int(own[k]), np.unique(term[edge[k] : stop[last]]), int(b), base, exact, threshold, min_overlap)
+            row = end
         return best
 
+    def _passage(self, best: dict, block: int, terms: np.ndarray, item_block: int, base: np.ndarray, exact, threshold: float, min_overlap: float) -> None:
+        text, passage = int(np.searchsorted(base, block, side="right")) - 1, None
+        for item, score in self.wand(terms[self.most[terms, item_block] > 0].tolist(), item_block, threshold):
+            if (text, item) in best and best[text, item][0] >= score:
+                continue
+            if passage is None:
+                words, first = exact(text), (block - int(base[text])) * self.text_block
+                passage = words[first : first + 2 * self.text_block]
+            overlaps = [self._overlap(part, passage) for part in self.parts[item]]
+            if min(overlaps) >= min_overlap:
+                best[text, item] = (score, *overlaps, first, first + len(passage) - 1)
+
     def _overlap(self, part: list[bytes], passage: list[bytes]) -> float:
         n = min(RUN, len(part))
         own = runs_of(part, n)
         return len(own & runs_of(passage, n)) / len(own)
 
 
-def shards(items: list[tuple[int, str]]) -> list[Index]:
-    """Items of like length together, so that long items don't lengthen the passages of short ones."""
-    own = [(len(w), i, t, w) for i, t in items if (w := words_of(t.encode()))]
-    df = Counter(w for *_, words in own for w in set(words))
-    mean = sum(n for n, *_ in own) / max(1, len(own))
-    own.sort(key=lambda x: (x[0], x[1]))
-    return [Index([(i, t) for _, i, t, _ in own[k : k + SHARD_ITEMS]], df, len(own), mean) for k in range(0, len(own), SHARD_ITEMS)]
+_ITEM_WORDS = pa.schema([("item_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("word", pa.binary())])
 
 
-def _search(index, threshold: float, min_overlap: float):
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, texts in steps(batches):
+        rows = [(i, t.decode(), len(words), w) for i, t in zip(ids, texts, strict=True) if (words := words_of(t)) for w in set(words)]
+        if rows:
+            yield batch_of(_ITEM_WORDS, [list(c) for c in zip(*rows, strict=True)])
+
+
+def shards(spark: SparkSession, benchmark: DataFrame) -> Iterator[Index]:
+    """Items of like length together, so that long items don't lengthen the passages of short ones."""
+    words = stash(spark, in_arrow(text_docs(benchmark, "item_id").distinct(), _distinct_words, "item_id long, text string, n_words long, word binary"), "item-words")
+    frequency = words.groupBy("word").agg(F.count("*").alias("df"))
+    items = words.join(frequency, "word").groupBy("item_id", "text", "n_words").agg(F.map_from_entries(F.collect_list(F.struct("word", "df"))).alias("df"))
+    sums = words.select("item_id", "text", "n_words").distinct().agg(F.count("*").alias("n"), F.avg("n_words").alias("mean")).first()
+    held: list[tuple[int, str, dict[bytes, int]]] = []
+    for r in items.orderBy("n_words", "item_id", "text").toLocalIterator():
+        held.append((r.item_id, r.text, {bytes(w): n for w, n in r.df.items()}))
+        if len(held) == SHARD_ITEMS:
+            yield Index(held, sums.n, sums.mean)
+            held = []
+    if held:
+        yield Index(held, sums.n, sums.mean)
+
+
+def _search(shared, threshold: float, min_overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard: Index = index.value
         for ids, texts in steps(batches):
-            rows = [(doc, shard.items[item], *found) for doc, text in zip(ids, texts, strict=True) for item, found in shard.search(words_of(text), threshold, min_overlap).items()]
+            plain = [t.translate(_WORDS) for t in texts]
+            words, at = hashed_words(plain, lower=False)
+            cut = lru_cache(1)(lambda i: plain[i].split())  # passages of one text come one after the other
+            rows = [(ids[i], shard.items[item], *found, hashlib.sha256(texts[i]).digest()[:16]) for shard in shared.value for (i, item), found in shard.search(words, at, cut, threshold, min_overlap).items()]
             if rows:
                 yield batch_of(_SCHEMA, [list(c) for c in zip(*rows, strict=True)])
 
@@ -181,12 +230,24 @@ def _search(index, threshold: float, min_overlap: float):
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_overlap: float = MIN_OVERLAP) -> DataFrame:
-    """A row per document and test item found in it, with the best passage."""
+    """A row per document and test item found in it, with the best passage; t is the text's key (``text_key``)."""
     docs = text_docs(docs)
-    found = None
-    # items come one shard's worth after the other, by id; each shard is a pass over the documents
-    items = [(r.doc_id, r.text) for r in text_docs(benchmark, "item_id").orderBy("doc_id", "text").toLocalIterator() if r.text]
-    for shard in shards(items):
-        part = in_arrow(docs, _search(spark.sparkContext.broadcast(shard), threshold, min_overlap), RESULT)
-        found = part if found is None else found.unionByName(part)
+    found: DataFrame | None = None
+
+    def search(index: list[Index]) -> DataFrame:
+        part = in_arrow(docs, _search(spark.sparkContext.broadcast(index), threshold, min_overlap), RESULT)
+        return part if found is None else found.unionByName(part)
+
+    held: list[Index] = []
+    for shard in shards(spark, benchmark):
+        if held and sum(x.size() for x in held) + shard.size() > PASS_BYTES:
+            found, held = stash(spark, search(held), "found"), []  # the driver needn't keep what has been searched
+        held.append(shard)
+    if held:
+        found = search(held)
     return empty(spark, RESULT) if found is None else found
+
+
+def clean_rows(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose texts hold no test item; a row goes by its own text, whatever its id or columns."""
+    return without(docs, stash(spark, contaminated(spark, docs, benchmark).select("doc_id", "t").distinct(), "contaminated"))

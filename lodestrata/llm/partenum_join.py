@@ -22,14 +22,16 @@ Edge cases: null and blank texts have empty sets, ``n_shingles`` 0, and link wit
 nothing, not even each other; texts with fewer words than a shingle have one
 element, the whole sequence; equal texts link; rows that repeat a doc_id stay
 separate rows; rows with null doc_id are kept, and never are a component's id
-unless alone (then null). An empty table gives an empty result. Only the key and
-text columns are read, so other columns can't clash.
-Hashes are 64 bits; the chance that any two of 10^9 distinct sets share theirs is
-under 3 %, and the elements are compared before a link counts.
+unless alone (then null). Texts of any length are one set. An empty table gives an
+empty result. Only the key and text columns are read, so other columns can't clash.
+Elements and sets are told apart by 64-bit hashes. Links between different sets are
+decided by their elements; sets whose own hashes are equal count as equal, which is
+wrong for some pair of 10^9 different sets with a chance under 3 %.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from itertools import combinations
@@ -39,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import batch_of, components, empty, in_arrow, release, settle, stash, steps, text_docs
+from lodestrata.llm.common import batch_of, components, empty, in_arrow, release, settle, spread_join, stash, steps, text_docs, text_key, without
 from lodestrata.llm.hashing import hashed_words, mix, shingles
 
 #: Largest size of a band over its smallest.
@@ -49,7 +51,7 @@ BLOCK_SETS = 256
 BLOCK_ITEMS = 256 * 1024
 #: Shingles whose columns are multiplied at once.
 COLUMNS = 4096
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("par", pa.binary())])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("t", pa.binary()), ("n", pa.int64()), ("h", pa.int64()), ("par", pa.binary())])
 _SIGNED = pa.schema([("h", pa.int64()), ("sig", pa.int64())])
 _SETS = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("items", pa.list_(pa.int64()))])
 
@@ -83,8 +85,8 @@ def signatures(items: np.ndarray, lows: np.ndarray, percent: int) -> np.ndarray:
         return items
     band = int(np.searchsorted(lows, n, side="right")) - 1
     out = []
-    for j in (band, band + 1):
-        if j > band and 100 * n < percent * int(lows[j]):
+    for j in range(band, len(lows) - 1):  # a larger partner signs for its own band
+        if 100 * n < percent * int(lows[j]) and j > band:
             break
         k, n1, n2, k2, spare = plan(int(lows[j]), int(lows[j + 1]) - 1, percent)
         if k == 0:
@@ -136,7 +138,7 @@ def sketches(width: int):
         for ids, texts in steps(batches):
             words, at = hashed_words(texts)
             items = [shingles(words[at[i] : at[i + 1]], width) for i in range(len(ids))]
-            yield batch_of(_SKETCH, [ids, [len(s) for s in items], [_digest(s) for s in items], [parities(s) for s in items]])
+            yield batch_of(_SKETCH, [ids, [hashlib.sha256(t).digest()[:16] for t in texts], [len(s) for s in items], [_digest(s) for s in items], [parities(s) for s in items]])
 
     return run
 
@@ -207,10 +209,10 @@ def _near(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
 def _fetched(docs: DataFrame, facts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(h, n, items) of the sets named by wanted(h), made again from a text that has them.
 
-    The texts are joined by merging at every size, so rows of one doc_id meet in one task, which gives a set once;
-    should a split of a skewed partition part them, a set that comes twice adds no link."""
-    ids = facts.join(wanted.distinct(), "h").select(F.col("doc_id").alias("own_id"), "h")
-    texts = docs.join(ids.hint("merge"), docs.doc_id.eqNullSafe(ids.own_id)).select("h", "text")
+    Each set is named by one row's doc_id and text. The texts are joined by merging at every size; rows that repeat both
+    meet in one task, which gives a set once, and a set that comes twice adds no link."""
+    ids = facts.join(wanted.distinct(), "h").select(F.col("first.doc_id").alias("own_id"), F.col("first.t").alias("own_t"), "h")
+    texts = docs.withColumn("t", text_key()).join(ids.hint("merge"), docs.doc_id.eqNullSafe(ids.own_id) & (F.col("t") == F.col("own_t"))).select("h", "text")
     return in_arrow(texts, _sets(width), "h long, n long, items array<long>")
 
 
@@ -320,16 +322,18 @@ def _block_links(percent: int):
     return run
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
-    docs = text_docs(docs)
-    sketch = stash(spark, in_arrow(docs, sketches(width), "doc_id long, n long, h long, par binary"), "sketch")
+def _grouped(spark: SparkSession, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, t, n, and the first row of its group (none of texts without words) for every row of docs(doc_id, text)."""
+    sketch = stash(spark, in_arrow(docs, sketches(width), "doc_id long, t binary, n long, h long, par binary"), "sketch")
+    total = sketch.count()
+    # of each different set, the first row that has it
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("first")
+    every = stash(spark, sketch.where("n > 0").groupBy("h").agg(F.min("n").alias("n"), F.count("*").alias("rows"), first, F.min("par").alias("par")), "facts")
     signed = in_arrow(docs, _signed(width, percent), "h long, sig long").withColumn("c", F.expr("min(h) over (partition by sig)")).withColumn("m", F.expr("max(h) over (partition by sig)"))
     shared = stash(spark, signed.where("c < m").select("sig", "h", "c"), "shared")
     del signed
     release(spark)
-    facts = sketch.join(shared.select("h").distinct(), "h").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("par").alias("par"))
-    facts = stash(spark, facts, "facts")
+    facts = stash(spark, every.join(shared.select("h").distinct(), "h").select("h", "n", "first", "par"), "shared-facts")
     star = shared.where("h != c").select(F.col("c").alias("a"), F.col("h").alias("b")).distinct()
     near = stash(spark, _near(star, facts, percent), "near")
     release(spark)
@@ -347,6 +351,29 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, per
         wider = nodes.join(components(spark, late).toDF("root", "wide"), "root", "left").select("root", F.coalesce("wide", "root").alias("wide"))
         of_node = root.unionByName(nodes.select(F.col("root").alias("node"), "root")).distinct()
         root = settle(spark, of_node.join(wider, "root").select("node", F.col("wide").alias("root")))
-    named = sketch.select("doc_id", "n", "h").join(root.withColumnRenamed("node", "h"), "h", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "h")).alias("root"))
-    first = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(first, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # sets to groups, groups to their first rows, and back to rows; large groups and sets of many rows are broadcast
+    linked = stash(spark, root.withColumnRenamed("node", "h").join(every.select("h", "rows", "first"), "h"), "linked")
+    group = linked.groupBy("root").agg(F.min("first").alias("group_first"), F.count("*").alias("n"))
+    of_set = spread_join(linked.select("root", "h"), group, "root", linked.count()).select("h", "group_first")
+    of_set = stash(spark, every.select("h", "first", F.col("rows").alias("n")).join(of_set, "h", "left").select("h", F.coalesce("group_first", "first").alias("first"), "n"), "first")
+    return spread_join(sketch.select("doc_id", "t", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("h")).alias("h")), of_set, "h", total)
+
+
+def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
+    return _grouped(spark, text_docs(docs), width, percent).select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
+
+
+def first_rows(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Of each group the row with the smallest doc_id; of equal doc_ids that with the smallest text key, and of rows equal
+    in both one (the first as JSON). Rows without id come after those with one; rows without words all stay."""
+    rows = stash(spark, _grouped(spark, text_docs(docs), width, percent), "groups")
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))
+    left = without(docs, rows.where(F.col("first").isNotNull() & ~own).select("doc_id", "t").distinct())
+    again = stash(spark, rows.where(F.col("first").isNotNull() & own).groupBy("doc_id", "t").count().where("count > 1").select("doc_id", "t"), "again")
+    if again.isEmpty():
+        return left
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    keyed = docs.select(row.alias("row"), F.col("doc_id").try_cast("long").alias("own_id"), text_key(F.coalesce("text", F.lit(""))).alias("own_t"))
+    once = keyed.join(again, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_t") == F.col("t")), "left_semi").groupBy("own_id", "own_t").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return without(left, again).unionByName(once.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns))))

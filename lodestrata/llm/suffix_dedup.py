@@ -8,37 +8,48 @@ anchors, about one in sixteen bytes.
 
 1. Anchors are reduced in each task to sorted hashes and exchanged as packed
    runs; hashes that at least two different texts have survive.
-2. Of the texts with survivors, the suffixes that start at them (``SPAN`` bytes)
-   are sorted in each task, front coded, and exchanged as packed runs, dealt by
-   their first ``GRAM`` bytes. A loser tree that knows the common prefix of each
-   head with the last winner merges the runs; suffixes whose common prefix with
-   the one before is at least ``GRAM`` bytes are a group.
+2. Texts with survivors are written once, dealt by their key. The suffixes that
+   start at their anchors (``SPAN`` bytes) are sorted in each task, front coded, and
+   exchanged as packed runs, dealt by ranges of their first ``GRAM`` bytes; the
+   bounds of the ranges come from a sample, which changes how even they are and
+   nothing else. In each range a loser tree that knows the common prefix of each
+   head with the last winner merges the runs, so that ranges one after the other
+   are one sorted array; suffixes whose common prefix with the one before is at
+   least ``GRAM`` bytes are a group. Beyond ``MAX_RANGES`` each range is dealt
+   further by a hash of those bytes, so that what a task holds stays bounded.
 3. In a group each suffix carries up to ``WINDOW - 1`` bytes before it. Strings of
    ``SPAN`` bytes around the anchor are equal where both sides agree far enough;
    a suffix gets the ranges whose strings a smaller doc_id in the group has too.
+   These go back to where the texts were written, so texts move once.
 
 Equal texts are one text throughout, owned by their smallest doc_id; the others
-lose all bytes if they have ``SPAN`` or more. Texts move by a 60-bit key of their
-SHA-256.
+lose all bytes if they have ``SPAN`` or more. Texts are told apart by half of their
+SHA-256 (128 bits). Texts with over a ``HOT``-th of all rows (so fewer than ``HOT``
+of them) are broadcast with their owners, and their other copies are done with
+before anything is dealt by text.
 
 Edge cases: null and short texts keep all bytes; a null doc_id counts as larger
 than any other; rows that repeat doc_id and text are the same document, and rows
-that repeat a doc_id with other text don't remove each other's bytes; an empty
-table gives an empty result; only doc_id and text are read.
+that repeat a doc_id with other text don't remove each other's bytes; texts of any
+length are worked on in windows of ``LONG`` bytes that overlap; an empty table gives
+an empty result. Only doc_id and text are read; other columns of any name are
+handed through by ``deduplicated_rows`` and ignored by ``deduplicated``.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import batch_of, in_arrow, stash, steps, text_docs
+from lodestrata.llm.common import HOT, batch_of, drop_stashes, in_arrow, made, release, stash, steps, text_key
 from lodestrata.llm.hashing import _BYTE, _P, _P_INV, _power, mix
 from lodestrata.llm.loser_tree import front_coded, merged_front_coded
 
@@ -47,15 +58,33 @@ WINDOW = SPAN - GRAM + 1
 #: Anchors that one packed group should hold; groups grow in number with the input, not in size.
 GROUP_ANCHORS = 800_000
 GROUP_SUFFIXES = 120_000
+#: Ranges of suffixes whose bounds the driver holds, and sampled suffixes for each.
+MAX_RANGES, SAMPLES = 4096, 48
 #: What a task holds before it sends a run.
 RUN_ANCHORS = 1_200_000
 RUN_SUFFIXES = 200_000
+#: Bytes of a text that are worked on at once.
+LONG = 8 << 20
 _NO_ID = 2**63 - 1
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_NOTHING = hashlib.sha256(b"").hexdigest()
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, place, hash) of every anchor."""
+    if len(texts) != 1 or len(texts[0]) <= LONG:
+        return _anchors(texts)
+    whole, found = texts[0], []
+    for begin in range(0, len(whole), LONG):  # what decides about an anchor is less than SPAN bytes away
+        first = max(0, begin - SPAN)
+        _, at, h = _anchors([whole[first : begin + LONG + SPAN]])
+        own = (at >= begin - first) & (at < begin - first + LONG)
+        found.append((at[own] + first, h[own]))
+    at, h = (np.concatenate(c) for c in zip(*found, strict=True))
+    return np.zeros(len(at), dtype=np.int64), at, h
+
+
+def _anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x = np.frombuffer(b"".join(texts), dtype=np.uint8)
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     none = np.zeros(0, dtype=np.int64)
@@ -91,13 +120,28 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
+def _keys(joined: bytes) -> np.ndarray:
+    """Keys of texts, one after the other, as rows of two numbers."""
+    return np.frombuffer(joined, np.uint64).reshape(-1, 2)
+
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, and the number among them of each."""
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    found = keys[order]
+    new = np.concatenate((np.ones(min(1, len(found)), bool), (found[1:] != found[:-1]).any(axis=1)))
+    number = np.empty(len(keys), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return found[new], number
+
+
 def _send_hashes(n_buckets: int):
     schema = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary()), ("keys", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        keys: list[int] = []
+        keys: list[bytes] = []
         size = 0
 
         def send() -> pa.RecordBatch:
@@ -107,7 +151,7 @@ def _send_hashes(n_buckets: int):
             edges = np.searchsorted(_bucket(h, n_buckets), np.arange(n_buckets + 1))
             low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             # within a bucket the order is by the whole hash; the reducer sorts by what is sent
-            table = np.array(keys, dtype=np.int64)
+            table = _keys(b"".join(keys))
             rows = []
             for b in range(n_buckets):
                 x, y = edges[b], edges[b + 1]
@@ -138,34 +182,37 @@ _PACKED = pa.schema([("home", pa.int32()), ("keys", pa.binary()), ("counts", pa.
 _PACKED_DDL = "home int, keys binary, counts binary, items binary"
 
 
-def _packed(t: np.ndarray, items: np.ndarray, n_homes: int) -> pa.Table:
-    """A row per home of texts: their keys, how many items each has, and the items (rows of 8-byte numbers)."""
-    home = (mix(t.view(np.uint64)) >> np.uint64(32)) * np.uint64(n_homes) >> np.uint64(32)
-    order = np.lexsort((t, home))
-    t, items, home = t[order], items[order], home[order]
+def _packed(keys: np.ndarray, number: np.ndarray, items: np.ndarray, n_homes: int) -> pa.Table:
+    """A row per home of texts: their keys, how many items each has, and the items (rows of 8-byte numbers).
+    ``number`` is the place among ``keys`` of the text that an item belongs to."""
+    used, number = np.unique(number, return_inverse=True)
+    keys = keys[used]
+    home = ((keys[:, 0] >> np.uint64(32)) * np.uint64(n_homes)) >> np.uint64(32)
+    by_home = np.argsort(home, kind="stable")
+    place = np.empty(len(by_home), dtype=np.int64)
+    place[by_home] = np.arange(len(by_home))
+    place = place[number]
+    items, counts = items[np.argsort(place, kind="stable")], np.bincount(place, minlength=len(by_home))
+    ends = np.concatenate(([0], np.cumsum(counts)))
     rows = []
-    edges = np.searchsorted(home, np.arange(n_homes + 1, dtype=np.uint64))
-    for h in range(n_homes):
-        a, b = edges[h], edges[h + 1]
+    for h, (a, b) in enumerate(pairwise(np.searchsorted(home[by_home], np.arange(n_homes + 1, dtype=np.uint64)))):
         if a < b:
-            keys, counts = np.unique(t[a:b], return_counts=True)
-            rows.append((h, keys.tobytes(), counts.astype(np.uint32).tobytes(), items[a:b].tobytes()))
+            rows.append((h, keys[by_home[a:b]].tobytes(), counts[a:b].astype(np.uint32).tobytes(), items[ends[a] : ends[b]].tobytes()))
     columns = [list(c) for c in zip(*rows, strict=True)] or [[], [], [], []]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED, strict=True)], schema=_PACKED)
 
 
 def _unpack(width: int):
     """Of one home: per text all its items of ``width`` numbers."""
-    schema = pa.schema([("t", pa.int64()), ("items", pa.binary())])
+    schema = pa.schema([("t", pa.binary()), ("items", pa.binary())])
 
     def run(group: pa.Table) -> pa.Table:
         columns = [group.column(c).to_pylist() for c in ("keys", "counts", "items")]
-        t = np.concatenate([np.repeat(np.frombuffer(k, np.int64), np.frombuffer(n, np.uint32)) for k, n in zip(columns[0], columns[1], strict=True)])
-        items = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, width) for x in columns[2]])
-        order = np.argsort(t, kind="stable")
-        texts, first = np.unique(t[order], return_index=True)
-        items, ends = items[order], [*first[1:].tolist(), len(t)]
-        return pa.Table.from_arrays([pa.array(texts), pa.array([items[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=False)], pa.binary())], schema=schema)
+        keys, number = _numbered(_keys(b"".join(columns[0])))
+        of_item = np.repeat(number, np.frombuffer(b"".join(columns[1]), np.uint32))
+        items = np.frombuffer(b"".join(columns[2]), np.uint64).reshape(-1, width)[np.argsort(of_item, kind="stable")]
+        ends = np.concatenate(([0], np.cumsum(np.bincount(of_item, minlength=len(keys))))).tolist()
+        return pa.Table.from_arrays([pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([items[a:b].tobytes() for a, b in pairwise(ends)], pa.binary())], schema=schema)
 
     return run
 
@@ -174,66 +221,101 @@ def _survivors(n_homes: int):
     """Of one bucket, per text: the hashes (bucket in the upper half) that another text has too."""
 
     def run(group: pa.Table) -> pa.Table:
-        return _shared_hashes(group, n_homes)
+        columns = [group.column(c).to_pylist() for c in ("hashes", "owners", "keys")]
+        keys, number = _numbered(_keys(b"".join(columns[2])))
+        owners, begin = [], 0
+        for own, table in zip(columns[1], columns[2], strict=True):
+            n = len(table) // 16
+            owners.append(number[begin : begin + n][np.frombuffer(own, np.uint16 if n < 65536 else np.uint32)])
+            begin += n
+        h, t = np.frombuffer(b"".join(columns[0]), np.uint32), np.concatenate(owners)
+        order = np.argsort(h, kind="stable")
+        h, t = h[order], t[order]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        shared = np.minimum.reduceat(t, first) != np.maximum.reduceat(t, first)
+        keep = np.repeat(shared, np.diff(np.concatenate((first, [len(h)]))))
+        bucket = np.uint64(group.column("bucket")[0].as_py() << 32)
+        return _packed(keys, t[keep], (h[keep].astype(np.uint64) | bucket).reshape(-1, 1), n_homes)
 
     return run
 
 
-def _shared_hashes(group: pa.Table, n_homes: int) -> pa.Table:
-    hashes, keys = [], []
-    for low, owners, table in zip(*(group.column(c).to_pylist() for c in ("hashes", "owners", "keys")), strict=True):
-        low, table = np.frombuffer(low, np.uint32), np.frombuffer(table, np.int64)
-        hashes.append(low)
-        keys.append(table[np.frombuffer(owners, np.uint16 if len(table) < 65536 else np.uint32)])
-    h, t = np.concatenate(hashes), np.concatenate(keys)
-    order = np.argsort(h, kind="stable")
-    h, t = h[order], t[order]
-    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    shared = np.minimum.reduceat(t, first) != np.maximum.reduceat(t, first)
-    keep = np.repeat(shared, np.diff(np.concatenate((first, [len(h)]))))
-    h, t = h[keep], t[keep]
-    bucket = np.uint64(group.column("bucket")[0].as_py() << 32)
-    return _packed(t, (h.astype(np.uint64) | bucket).reshape(-1, 1), n_homes)
+def _shared_anchors(text: bytes, items: bytes, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the anchors whose hash survived."""
+    _, at, h = anchors([text])
+    alive = np.isin((h & np.uint64(0xFFFFFFFF)) | (_bucket(h, n_buckets) << np.uint64(32)), np.frombuffer(items, np.uint64))
+    return at[alive], h[alive]
 
 
-def _send_suffixes(n_buckets: int, n_groups: int):
-    schema = pa.schema([("place", pa.int32()), *((n, pa.binary()) for n in ("lcps", "lengths", "rest", "lefts", "left", "texts", "at", "keys", "owners"))])
+def _sampled(n_buckets: int, most: int):
+    """First bytes of suffixes, at even distances, at most ``most`` of a text."""
+    schema = pa.schema([("gram", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # many small objects without cycles
-        held: list[list[tuple]] = [[] for _ in range(n_groups)]
-        size = 0
+        for batch in batches:
+            for text, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text = text.encode()
+                at, _ = _shared_anchors(text, items, n_buckets)
+                yield batch_of(schema, [[text[p : p + GRAM] for p in at[:: -(-len(at) // most) or 1].tolist()]])
 
-        def send() -> Iterator[pa.RecordBatch]:
-            for place, records in enumerate(held):
-                if not records:
-                    continue
-                records.sort()
-                coded = front_coded((r[0], None) for r in records)
-                number: dict[tuple[int, int], int] = {}
-                of = [number.setdefault((r[2], r[3]), len(number)) for r in records]
-                binary = [
-                    bytes(c[0] for c in coded), bytes(len(c[1]) for c in coded), b"".join(c[1] for c in coded), bytes(len(r[1]) for r in records), b"".join(r[1] for r in records),
-                    np.array(of, np.uint32).tobytes(), np.array([r[4] for r in records], np.int64).tobytes(), np.array([k for k, _ in number], np.int64).tobytes(), np.array([o for _, o in number], np.int64).tobytes(),
-                ]
-                yield batch_of(schema, [[place], *([x] for x in binary)])
-                held[place] = []
+    return run
 
-        for batch in batches:
-            for t, owner, text, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = text.encode() if isinstance(text, str) else text
-                wanted = np.frombuffer(items, np.uint64)
-                _, at, h = anchors([text])
-                short = (h & np.uint64(0xFFFFFFFF)) | (_bucket(h, n_buckets) << np.uint64(32))
-                alive = np.isin(short, wanted)
-                at, group = at[alive].tolist(), ((mix(h[alive]) >> np.uint64(32)) * np.uint64(n_groups) >> np.uint64(32)).tolist()
-                for p, g in zip(at, group, strict=True):
-                    held[g].append((text[p : p + SPAN], text[max(0, p - WINDOW + 1) : p], t, owner, p))
-                size += len(at)
-                if size > RUN_SUFFIXES:
-                    yield from send()
-                    size = 0
-        yield from send()
+
+def _bounds(texts: DataFrame, n_suffixes: int, n_ranges: int, n_buckets: int) -> list[bytes]:
+    """Where ranges begin after the first: quantiles of a sample of about ``SAMPLES`` suffixes a range."""
+    if n_ranges < 2:
+        return []
+    wanted, n_texts = SAMPLES * n_ranges, texts.count()
+    most = max(1, min(256, n_suffixes // max(1, n_texts)))  # of a text
+    share = min(1.0, wanted / most / max(1, n_texts))
+    some = texts.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < share * (1 << 20)).select("text", "alive")
+    grams = sorted(r.gram for r in in_arrow(some, _sampled(n_buckets, most), "gram binary").limit(4 * wanted).collect())
+    grams = [bytes(g) for g in grams]
+    return sorted({grams[len(grams) * i // n_ranges] for i in range(1, n_ranges)}) if grams else []
+
+
+def _send_suffixes(n_buckets: int, bounds: list[bytes], deal: int):
+    schema = pa.schema([("place", pa.int64()), *((n, pa.binary()) for n in ("lcps", "lengths", "rest", "lefts", "left", "texts", "at", "keys", "owners"))])
+
+    def coded(place: int, records: list[tuple]) -> pa.RecordBatch:
+        """A sorted run of one place."""
+        front = front_coded((r[0], None) for r in records)
+        number: dict[tuple[bytes, int], int] = {}
+        of = [number.setdefault((r[2], r[3]), len(number)) for r in records]
+        binary = [
+            bytes(c[0] for c in front), bytes(len(c[1]) for c in front), b"".join(c[1] for c in front), bytes(len(r[1]) for r in records), b"".join(r[1] for r in records),
+            np.array(of, np.uint32).tobytes(), np.array([r[4] for r in records], np.int64).tobytes(), b"".join(k for k, _ in number), np.array([o for _, o in number], np.int64).tobytes(),
+        ]
+        return batch_of(schema, [[place], *([x] for x in binary)])
+
+    def send(records: list[tuple]) -> Iterator[pa.RecordBatch]:
+        records.sort()
+        cuts = [0, *(bisect_left(records, (b,)) for b in bounds), len(records)]
+        for place, (a, b) in enumerate(pairwise(cuts)):
+            if deal == 1 and a < b:
+                yield coded(place, records[a:b])
+            elif a < b:
+                dealt: dict[int, list[tuple]] = {}
+                for r in records[a:b]:
+                    dealt.setdefault(r[5] % deal, []).append(r)
+                for d, found in dealt.items():
+                    yield coded(place * deal + d, found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # many small objects without cycles
+        try:
+            held: list[tuple] = []
+            for batch in batches:
+                for t, owner, text, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    text = text.encode()
+                    at, h = _shared_anchors(text, items, n_buckets)
+                    held += [(text[p : p + SPAN], text[max(0, p - WINDOW + 1) : p], t, owner, p, g) for p, g in zip(at.tolist(), (h >> np.uint64(1)).tolist(), strict=True)]
+                    if len(held) > RUN_SUFFIXES:
+                        yield from send(held)
+                        held = []
+            yield from send(held)
+        finally:
+            gc.enable()
 
     return run
 
@@ -242,7 +324,7 @@ def _runs(group: pa.Table) -> list[list[tuple[int, bytes, tuple]]]:
     out = []
     columns = [group.column(c).to_pylist() for c in ("lcps", "lengths", "rest", "lefts", "left", "texts", "at", "keys", "owners")]
     for lcps, lengths, rest, lefts, left, texts, at, keys, owners in zip(*columns, strict=True):
-        keys, owners = np.frombuffer(keys, np.int64).tolist(), np.frombuffer(owners, np.int64).tolist()
+        keys, owners = [keys[i : i + 16] for i in range(0, len(keys), 16)], np.frombuffer(owners, np.int64).tolist()
         run, i, j = [], 0, 0
         for lcp, n, m, text, p in zip(lcps, lengths, lefts, np.frombuffer(texts, np.uint32).tolist(), np.frombuffer(at, np.int64).tolist(), strict=True):
             run.append((lcp, rest[i : i + n], (left[j : j + m], keys[text], owners[text], p)))
@@ -252,7 +334,7 @@ def _runs(group: pa.Table) -> list[list[tuple[int, bytes, tuple]]]:
     return out
 
 
-def _ranges(members: list[tuple[bytes, tuple]], out: dict[int, list[tuple[int, int]]]) -> None:
+def _ranges(members: list[tuple[bytes, tuple]], out: dict[bytes, list[tuple[int, int]]]) -> None:
     """members: (suffix, (bytes before, text, owner, place)) of one group."""
     whole: dict[tuple[bytes, bytes], int] = {}
     for suffix, (left, _, owner, _) in members:
@@ -287,31 +369,29 @@ def _ranges(members: list[tuple[bytes, tuple]], out: dict[int, list[tuple[int, i
 
 
 def _merge_group(n_homes: int):
-    """Of one group of prefixes, per text: the ranges to remove."""
+    """Of one range of suffixes, per text: the bytes to remove."""
 
     def run(group: pa.Table) -> pa.Table:
-        return _merged_ranges(group, n_homes)
-
-    return run
-
-
-def _merged_ranges(group: pa.Table, n_homes: int) -> pa.Table:
-    gc.disable()
-    out: dict[int, list[tuple[int, int]]] = {}
-    members: list[tuple[bytes, tuple]] = []
-    suffix = b""
-    for lcp, rest, payload in merged_front_coded(_runs(group)):
-        suffix = suffix[:lcp] + rest
-        if lcp < GRAM and members:
+        gc.disable()
+        try:
+            out: dict[bytes, list[tuple[int, int]]] = {}
+            members: list[tuple[bytes, tuple]] = []
+            suffix = b""
+            for lcp, rest, payload in merged_front_coded(_runs(group)):
+                suffix = suffix[:lcp] + rest
+                if lcp < GRAM and members:
+                    if len(members) > 1:
+                        _ranges(members, out)
+                    members = []
+                members.append((suffix, payload))
             if len(members) > 1:
                 _ranges(members, out)
-            members = []
-        members.append((suffix, payload))
-    if len(members) > 1:
-        _ranges(members, out)
-    rows = [(t, a, b) for t, r in out.items() for a, b in joined(r)]
-    table = np.array(rows, dtype=np.int64).reshape(-1, 3)
-    return _packed(np.ascontiguousarray(table[:, 0]), np.ascontiguousarray(table[:, 1:]).view(np.uint64), n_homes)
+        finally:
+            gc.enable()
+        rows = np.array([(n, a, b) for n, r in enumerate(out.values()) for a, b in joined(r)], dtype=np.int64).reshape(-1, 3)
+        return _packed(_keys(b"".join(out)), rows[:, 0], np.ascontiguousarray(rows[:, 1:]).view(np.uint64), n_homes)
+
+    return run
 
 
 def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -325,54 +405,86 @@ def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut(keep_text: bool):
-    schema = pa.schema([("t", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string()), *([("kept_text", pa.string())] if keep_text else [])])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for t, text, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = text.encode() if isinstance(text, str) else text
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, doc_id, n_bytes, sha, copy, text, items) to (row, doc_id, n_bytes, n_removed, n_spans, kept_sha256, text)."""
+    names = ["row", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    for batch in batches:
+        rows = []
+        for size, sha, copy, text, items in zip(*(batch.column(c).to_pylist() for c in ("n_bytes", "sha", "copy", "text", "items")), strict=True):
+            if copy:
+                rows.append((size, 1, _NOTHING, ""))
+            elif items is None:
+                rows.append((0, 0, sha, text))
+            else:
+                text, last, kept = text.encode(), 0, []
                 ranges = joined([tuple(r) for r in np.frombuffer(items, np.int64).reshape(-1, 2).tolist()])
-                kept, last = [], 0
                 for a, b in ranges:
                     kept.append(text[last:a])
                     last = b
                 left = b"".join([*kept, text[last:]])
-                rows.append((t, sum(b - a for a, b in ranges), len(ranges), hashlib.sha256(left).hexdigest(), *([left.decode("utf-8", "ignore")] if keep_text else [])))
-            if rows:
-                yield batch_of(schema, [list(c) for c in zip(*rows, strict=True)])
-
-    return run
-
-
-def text_key(text) -> Column:
-    """60 bits of a text's SHA-256, a positive long."""
-    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
-
-
-def deduplicated(spark: SparkSession, docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``keep_text`` also the text's
-    key and what is left as text, where something was removed (bytes of characters cut in two are left out of the text, not of the digest)."""
-    docs = text_docs(docs).withColumn("sha", F.sha2("text", 256)).withColumn("t", text_key("text"))
-    base = stash(spark, docs.select("doc_id", "t", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "texts")
-    owner = base.groupBy("t").agg(F.min("doc_id").alias("owner"))
-    size = base.agg(F.sum("n_bytes")).first()[0] or 0
-    n_buckets = max(1, -(-size // 14 // GROUP_ANCHORS))
-    sent = in_arrow(docs.where(F.octet_length("text") >= SPAN).select("t", "text"), _send_hashes(n_buckets), "bucket int, hashes binary, owners binary, keys binary")
-    alive = sent.groupBy("bucket").applyInArrow(_survivors(n_buckets), _PACKED_DDL).groupBy("home").applyInArrow(_unpack(1), "t long, items binary")
+                rows.append((sum(b - a for a, b in ranges), len(ranges), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
+        made = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.string(), pa.string())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), *made], names=names)
+
+
+def _worked(spark: SparkSession, docs: DataFrame, row: Column, row_type: str, keep_text: bool) -> DataFrame:
+    """row, doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if ``keep_text``, what is left as text of every row."""
+    before = len(made())
+    text = F.coalesce("text", F.lit(""))
+    every = docs.select(row.alias("row"), F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").alias("was"), text.alias("text"))
+    every = every.select("*", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"), text_key("text").alias("t"), F.octet_length("text").cast("long").alias("n_bytes"))
+    plain = lambda df, n, spans, sha, left: df.select("row", "doc_id", "n_bytes", n.alias("n_removed"), F.lit(spans).cast("long").alias("n_spans"), sha.alias("kept_sha256"), left.alias("text"))
+    short = plain(every.where(F.col("n_bytes") < SPAN), F.lit(0).cast("long"), 0, F.col("sha"), F.col("was"))
+    long = every.where(F.col("n_bytes") >= SPAN).drop("was")
+    owners = stash(spark, long.groupBy("t").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"), F.max("n_bytes").alias("size")), "owners")
+    sums = owners.agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("size")).alias("bytes")).first()
+    n_buckets = max(1, -(-(sums.bytes or 0) // 14 // GROUP_ANCHORS))
+    # fewer than HOT texts
+    hot = owners.where(f"n * {HOT} > {sums.rows or 0} and n > 1 and owner is not null").select("t", F.col("owner").alias("hot_owner"))
+    marked = long.join(F.broadcast(hot), "t", "left")
+    away = F.col("hot_owner").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("hot_owner")))
+    copies = plain(marked.where(away), F.col("n_bytes"), 1, F.lit(_NOTHING), F.lit(""))
+    long = marked.where(~away).drop("hot_owner")
+
+    sent = in_arrow(long.select("t", "text"), _send_hashes(n_buckets), "bucket int, hashes binary, owners binary, keys binary")
+    alive = sent.groupBy("bucket").applyInArrow(_survivors(n_buckets), _PACKED_DDL).groupBy("home").applyInArrow(_unpack(1), "t binary, items binary")
     alive = stash(spark, alive, "alive")
-    n_groups = max(1, -(-(alive.agg(F.sum(F.octet_length("items"))).first()[0] or 0) // 8 // GROUP_SUFFIXES))
-    firsts = alive.withColumnRenamed("items", "alive").join(owner, "t")
-    texts = docs.select("doc_id", "t", "text").join(firsts, "t").where(F.col("doc_id").eqNullSafe(F.col("owner"))).select("t", F.coalesce("owner", F.lit(_NO_ID)).alias("owner"), "text", "alive")
-    texts = stash(spark, texts, "sources")  # rows that repeat id and text give equal ranges twice, which joined() unites
-    runs = in_arrow(texts, _send_suffixes(n_buckets, n_groups), "place int, lcps binary, lengths binary, rest binary, lefts binary, left binary, texts binary, at binary, keys binary, owners binary")
-    ranges = runs.groupBy("place").applyInArrow(_merge_group(n_buckets), _PACKED_DDL).groupBy("home").applyInArrow(_unpack(2), "t long, items binary")
-    cut = in_arrow(texts.select("t", "text").join(ranges, "t"), _cut(keep_text), "t long, n_removed long, n_spans long, kept string" + ", kept_text string" * keep_text).dropDuplicates(["t"])
-    df = base.join(owner, "t", "left").join(cut, "t", "left")
-    copy = F.col("owner").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("owner"))) & (F.col("n_bytes") >= SPAN)
-    own = [
-        "doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copy, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
-    ]
-    return df.select(*own, *(["t", F.when(copy, "").otherwise(F.col("kept_text")).alias("kept_text")] if keep_text else []))
+    release(spark)
+    n_suffixes = (alive.agg(F.sum(F.octet_length("items"))).first()[0] or 0) // 8
+    of_text = owners.select("t", "owner").join(alive.withColumnRenamed("items", "alive"), "t", "left")
+    copy = F.col("owner").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("owner")))
+    placed = long.join(of_text.hint("shuffle_hash"), "t", "left").withColumn("copy", copy)
+    at_work = F.col("alive").isNotNull() & ~F.col("copy")
+    needed = ~F.col("copy") if keep_text else at_work
+    placed = placed.select("t", "row", "doc_id", "n_bytes", "sha", "copy", F.coalesce("owner", F.lit(_NO_ID)).alias("owner"), F.when(at_work, F.col("alive")).alias("alive"), F.when(needed, F.col("text")).alias("text"))
+    placed = stash(spark, placed, "placed", bucket="t")
+    drop_stashes(spark, [p for p in made()[before:] if "/alive-" in p])
+    release(spark)
+
+    texts = placed.where("alive is not null").select("t", "owner", "text", "alive")  # rows that repeat id and text give equal ranges twice, which joined() unites
+    n_groups = max(1, -(-n_suffixes // GROUP_SUFFIXES))
+    bounds, deal = _bounds(texts, n_suffixes, min(n_groups, MAX_RANGES), n_buckets), -(-n_groups // MAX_RANGES)
+    runs = in_arrow(texts, _send_suffixes(n_buckets, bounds, deal), "place long, lcps binary, lengths binary, rest binary, lefts binary, left binary, texts binary, at binary, keys binary, owners binary")
+    ranges = stash(spark, runs.groupBy("place").applyInArrow(_merge_group(n_buckets), _PACKED_DDL).groupBy("home").applyInArrow(_unpack(2), "t binary, items binary"), "ranges")
+    release(spark)
+    cut = placed.join(ranges.hint("shuffle_hash"), "t", "left").select("row", "doc_id", "n_bytes", "sha", "copy", "text", "items")
+    cut = in_arrow(cut, _cut, f"row {row_type}, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+    return cut.unionByName(short).unionByName(copies)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+    return _worked(spark, docs, F.lit(0), "int", False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def deduplicated_rows(spark: SparkSession, docs: DataFrame, length: str = "n_chars") -> DataFrame:
+    """Every row of ``docs`` with what is left as its text (bytes of characters cut in two are left out of it, though not
+    of the digest); a text can become empty. Where bytes went, a column ``length`` gets the new number of characters. Other
+    columns, whatever their names, stay as they are."""
+    rest = [c for c in docs.columns if c != "text"]
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)))
+    worked = _worked(spark, docs, row, docs.select(row.alias("row")).schema["row"].dataType.simpleString(), True)
+    back = {c: F.col(f"row.c{i}") for i, c in enumerate(rest)}
+    if length in back:
+        back[length] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema[length].dataType)).otherwise(back[length])
+    return worked.select(*(back.get(c, F.col("text")).alias(c) for c in docs.columns))

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import MADE, batch_of, drop_stashes, in_arrow, release, stash, steps, text_docs
+from lodestrata.llm.common import batch_of, drop_stashes, in_arrow, made, release, stash, steps, text_docs
 from lodestrata.llm.hashing import hashed_words, mix
 
 DEPTH = 3
@@ -185,11 +185,10 @@ def grown(spark: SparkSession, docs: DataFrame, first: DataFrame, depth: int, ho
     first: (key, n, p, hot) of single symbols. A run's value is what it adds as a
     run to what its context gives on, a context's is what it gives on; log10.
     """
-    counted, contexts, made = [], [], len(MADE)
+    counted, contexts, before_all = [], [], len(made())
 
     def drop(paths: list[str]) -> None:
         drop_stashes(spark, paths)
-        MADE[:] = [p for p in MADE if p not in paths]
         release(spark)
 
     before = first
@@ -199,11 +198,11 @@ def grown(spark: SparkSession, docs: DataFrame, first: DataFrame, depth: int, ho
         found = in_arrow(docs, _count_runs(length, shorter), "key long, context long, suffix long, n long")
         found = found.groupBy("key").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
         found = stash(spark, found, f"runs-{length}")
-        done = MADE[-1:]
+        done = made()[-1:]
         release(spark)
         own = found.groupBy("context").agg(F.sum("n").alias("inside")).join(before.select(F.col("key").alias("context"), F.col("n").alias("total"), "hot"), "context")
         own = stash(spark, own.select("context", "total", "hot", (F.greatest(F.lit(0.0), F.col("total") - F.col("inside")) + PRIOR).alias("rest")), f"contexts-{length}")
-        done += MADE[-1:]
+        done += made()[-1:]
         p = (F.col("n") + F.col("rest") * F.col("before")) / (F.col("total") + PRIOR)
         found = found.join(before.select(F.col("key").alias("suffix"), F.col("p").alias("before")), "suffix").join(own.drop("hot"), "context")
         on = F.log10(F.col("rest") / (F.col("total") + PRIOR))
@@ -227,7 +226,7 @@ def grown(spark: SparkSession, docs: DataFrame, first: DataFrame, depth: int, ho
         frequent.append(counted[d].where("hot").select("key"))
         release(spark)
     union = lambda x: x[0] if len(x) == 1 else x[0].unionAll(union(x[1:]))
-    values, frequent, done = stash(spark, union(values), "values"), stash(spark, union(frequent), "frequent"), MADE[made:-2]
+    values, frequent, done = stash(spark, union(values), "values"), stash(spark, union(frequent), "frequent"), made()[before_all:-2]
     drop(done)
     return values, frequent
 
