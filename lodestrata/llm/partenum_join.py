@@ -226,8 +226,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _blocks(spark: SparkSession, members: DataFrame, side: DataFrame, percent: int) -> DataFrame:
     """members(cluster, h, root, n) with the columns of ``side``, for each two blocks to compare (cluster, i, j)."""
-    members = members.withColumn("block", F.expr(f"(sum(n + {BLOCK_ITEMS // BLOCK_SETS}) over (partition by cluster order by root, h rows unbounded preceding)) div {BLOCK_ITEMS}"))
-    members = settle(spark, members)
+    whole = F.sum(F.col("n") + BLOCK_ITEMS // BLOCK_SETS).alias("whole")
+    total = members.count()
+    # a component that fills a block has blocks of its own, the others share theirs; sizes come by broadcast where many members ask
+    part = F.xxhash64("cluster", "root")
+    members = spread_join(members, members.groupBy("cluster").agg(whole, F.count("*").alias("n")), "cluster", total).withColumn("part", part)
+    parts = members.groupBy("part").agg(F.sum(F.col("n") + BLOCK_ITEMS // BLOCK_SETS).alias("own"), F.count("*").alias("n"))
+    members = spread_join(members, parts, "part", total)
+    alone = F.xxhash64("part", F.pmod(F.xxhash64("h"), F.ceil(F.col("own") / BLOCK_ITEMS)))
+    members = members.withColumn("block", F.when(F.col("own") >= BLOCK_ITEMS, alone).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("whole") / BLOCK_ITEMS))))
+    members = settle(spark, members.select("cluster", "h", "root", "n", "block"))
     blocks = members.groupBy("cluster", "block").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
     one, two = blocks.toDF("cluster", "i", "r0", "r1", "n0", "n1"), blocks.toDF("cluster", "j", "s0", "s1", "m0", "m1")
     pairs = one.join(two, "cluster").where(f"i <= j and not (r0 = r1 and s0 = s1 and r0 = s0) and n1 * 100 >= m0 * {percent} and m1 * 100 >= n0 * {percent}").select("cluster", "i", "j")

@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import HOT, batch_of, drop_stashes, in_arrow, made, release, stash, steps, text_key
+from lodestrata.llm.common import HOT, STEP_BYTES, batch_of, drop_stashes, in_arrow, made, release, stash, steps, text_key
 from lodestrata.llm.hashing import _BYTE, _P, _P_INV, _power, mix
 from lodestrata.llm.loser_tree import front_coded, merged_front_coded
 
@@ -61,10 +61,10 @@ GROUP_SUFFIXES = 120_000
 #: Ranges of suffixes whose bounds the driver holds, and sampled suffixes for each.
 MAX_RANGES, SAMPLES = 4096, 48
 #: What a task holds before it sends a run.
-RUN_ANCHORS = 1_200_000
-RUN_SUFFIXES = 200_000
+RUN_ANCHORS = 900_000
+RUN_SUFFIXES = 120_000
 #: Bytes of a text that are worked on at once.
-LONG = 8 << 20
+LONG = 2 << 20
 _NO_ID = 2**63 - 1
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _NOTHING = hashlib.sha256(b"").hexdigest()
@@ -240,11 +240,28 @@ def _survivors(n_homes: int):
     return run
 
 
-def _shared_anchors(text: bytes, items: bytes, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of the anchors whose hash survived."""
-    _, at, h = anchors([text])
-    alive = np.isin((h & np.uint64(0xFFFFFFFF)) | (_bucket(h, n_buckets) << np.uint64(32)), np.frombuffer(items, np.uint64))
-    return at[alive], h[alive]
+def _shared_anchors(texts: list[bytes], items: list[bytes], n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash) of the anchors whose hash survived for their text."""
+    own, at, h = anchors(texts)
+    short = (h & np.uint64(0xFFFFFFFF)) | (_bucket(h, n_buckets) << np.uint64(32))
+    of_text = lambda n: n.astype(np.uint64) * np.uint64(_P)
+    wanted = mix(np.frombuffer(b"".join(items), np.uint64)) + of_text(np.repeat(np.arange(len(items)), [len(x) // 8 for x in items]))
+    alive = np.isin(mix(short) + of_text(own), wanted)  # by hash: one anchor too many is one suffix too many
+    return own[alive], at[alive], h[alive]
+
+
+def _work(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes], list[bytes]]]:
+    """(other columns, texts, alive) of steps; the last two columns are text and alive."""
+    for batch in batches:
+        columns, begin = [c.to_pylist() for c in batch.columns], 0
+        texts = [t.encode() for t in columns[-2]]
+        while begin < len(texts):
+            end, total = begin + 1, len(texts[begin])
+            while end < len(texts) and total + len(texts[end]) <= STEP_BYTES:
+                total += len(texts[end])
+                end += 1
+            yield [c[begin:end] for c in columns[:-2]], texts[begin:end], columns[-1][begin:end]
+            begin = end
 
 
 def _sampled(n_buckets: int, most: int):
@@ -252,11 +269,11 @@ def _sampled(n_buckets: int, most: int):
     schema = pa.schema([("gram", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = text.encode()
-                at, _ = _shared_anchors(text, items, n_buckets)
-                yield batch_of(schema, [[text[p : p + GRAM] for p in at[:: -(-len(at) // most) or 1].tolist()]])
+        for _, texts, items in _work(batches):
+            own, at, _ = _shared_anchors(texts, items, n_buckets)
+            for n, text in enumerate(texts):
+                places = at[own == n]
+                yield batch_of(schema, [[text[p : p + GRAM] for p in places[:: -(-len(places) // most) or 1].tolist()]])
 
     return run
 
@@ -305,14 +322,13 @@ def _send_suffixes(n_buckets: int, bounds: list[bytes], deal: int):
         gc.disable()  # many small objects without cycles
         try:
             held: list[tuple] = []
-            for batch in batches:
-                for t, owner, text, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    text = text.encode()
-                    at, h = _shared_anchors(text, items, n_buckets)
-                    held += [(text[p : p + SPAN], text[max(0, p - WINDOW + 1) : p], t, owner, p, g) for p, g in zip(at.tolist(), (h >> np.uint64(1)).tolist(), strict=True)]
-                    if len(held) > RUN_SUFFIXES:
-                        yield from send(held)
-                        held = []
+            for (ts, owners), texts, items in _work(batches):
+                for n, p, g in zip(*(x.tolist() for x in _shared_anchors(texts, items, n_buckets)), strict=True):
+                    text = texts[n]
+                    held.append((text[p : p + SPAN], text[max(0, p - WINDOW + 1) : p], ts[n], owners[n], p, g >> 1))
+                if len(held) > RUN_SUFFIXES:
+                    yield from send(held)
+                    held = []
             yield from send(held)
         finally:
             gc.enable()
