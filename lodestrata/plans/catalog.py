@@ -8,40 +8,41 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.operators.closure import reachable, settle, transitive_closure
-from lodestrata.plans.relations import CLOSURES, DERIVED, REACH
+from lodestrata.plans.relations import APART, CLOSURES, DERIVED, FIELDS, REACH
 from lodestrata.plans import extras
 from lodestrata.sources.fact_text import relation_tables
 from lodestrata.sources.table_facts import FACTS
 
 TABLES = ("orders", "lineitem")
 #: Read by several relations of one query, so written once.
-SHARED = {"orders_", "items_", "value_reaches", "call_reached", "acall", "call_in_untrusted_region"}
+SHARED = {"orders_", "items_", "value_reaches", "call_reached", "acall", "call_in_untrusted_region", "untrusted_reached", "witness_1", "flow_base"}
 SQL = FACTS | DERIVED
 
 
-def needs(name: str) -> list[str]:
+def needs(name: str, sql: dict[str, str] = SQL) -> list[str]:
     if name in REACH:
         return list(REACH[name])
     if name in CLOSURES:
         return [CLOSURES[name][0]]
-    text = re.sub(r"'[^']*'", "''", SQL[name])
+    text = re.sub(r"'[^']*'", "''", sql[name])
     found = re.findall(r"(?:FROM|JOIN)\s+(\w+)", text)
     return [x for x in dict.fromkeys(found) if x in SQL or x in REACH or x in CLOSURES]
 
 
-def order(name: str) -> list[str]:
+def order(name: str, sql: dict[str, str] = SQL) -> list[str]:
     """What ``name`` is built from, itself last."""
     out: list[str] = []
 
     def visit(x: str) -> None:
         if x not in out:
-            for y in needs(x):
+            for y in needs(x, sql):
                 visit(y)
             if x not in out:
                 out.append(x)
@@ -52,20 +53,35 @@ def order(name: str) -> list[str]:
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A relation over the facts of the driver tables."""
-    return _build(spark, name, {t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in TABLES}, order(name))
+    df = _build(spark, name, {t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in TABLES}, order(name))
+    return df.withColumn("fields", F.array_join("fields", "|")) if name == "findings_all" else df
+
+
+def findings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings over the facts of the driver tables, their fields apart."""
+    return _build(spark, "findings_all", {t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in TABLES}, order("findings_all"))
 
 
 def audit(facts: DataFrame, name: str) -> DataFrame:
     """A relation over facts of any origin: rows ``p, relation, args`` (others are ignored), as of ``fact_text.scan``.
 
     ``check_single`` counts a program's skill facts as they stand, repeated ones and none included, which its SQL over
-    distinct facts can't.
+    distinct facts can't. Of a call's or value's repeated declarations that with the largest ``seq`` holds, where there is
+    such a column, else the largest. The fields of ``findings_all`` are an array.
     """
     if name == "check_single":
         counted = facts.where("relation = 'skill'").groupBy("p").agg(F.count("*").alias("n"))
         n = F.coalesce("n", F.lit(0))
         return facts.select("p").distinct().join(counted, "p", "left").where(n != 1).select("p", F.lit("SDL005").alias("code"), n.cast("long").alias("n"))
-    return _build(facts.sparkSession, name, relation_tables(facts), [x for x in order(name) if x not in FACTS])
+    nth = F.col("seq") if "seq" in facts.columns else F.lit(0)
+    last = lambda relation, size, at: (
+        facts.where((F.col("relation") == relation) & (F.size("args") == size)).groupBy("p", F.col("args")[0].alias("id"))
+        .agg(F.max(F.struct(nth.alias("nth"), F.col("args")[at].alias("x"))).alias("last")).select("p", "id", "last.x")
+    )
+    given = relation_tables(facts) | {
+        "program": facts.select("p").distinct(), "call_home": last("call", 2, 1).toDF("p", "c", "a"), "value_kind": last("value", 3, 2).toDF("p", "v", "kind"),
+    }
+    return _build(facts.sparkSession, name, given, [x for x in order(name) if x not in FACTS])
 
 
 def _build(spark: SparkSession, name: str, given: dict[str, DataFrame], steps: list[str]) -> DataFrame:
@@ -88,7 +104,10 @@ def _build(spark: SparkSession, name: str, given: dict[str, DataFrame], steps: l
             register(x, df)
         df = None
         for x in steps:
-            if x in REACH:
+            if x == "findings_all":
+                parts = [spark.table(mark + label).select("p", F.lit(label[6:]).alias("label"), F.array(*f.split()).alias("fields"), F.lit("warning").alias("severity")) for label, f in FIELDS.items()]
+                df = reduce(DataFrame.unionByName, parts)
+            elif x in REACH:
                 df = reachable(*(spark.table(mark + r) for r in REACH[x]))
             elif x in CLOSURES:
                 base, a, b = CLOSURES[x]
@@ -110,17 +129,20 @@ def _aliased(sql: str, end: int) -> bool:
 
 
 def clause(*names: str) -> str:
-    """The WITH clause that defines the relations and all they are built from."""
+    """The WITH clause that defines the relations and all they are built from, for DuckDB: relations of ``APART`` by their
+    other text."""
+    sql = SQL | APART
     parts = []
-    for x in dict.fromkeys(y for name in names for y in order(name)):
+    for x in dict.fromkeys(y for name in names for y in order(name, sql)):
         if x in REACH:
             roots, edges = REACH[x]
-            body = f"SELECT p, c FROM {roots} UNION SELECT e.p, e.c2 FROM {x} r JOIN {edges} e ON e.p = r.p AND e.c1 = r.c"
+            extra, own = (", v", ", r.v") if x == "passed" else ("", "")
+            body = f"SELECT p, c{extra} FROM {roots} UNION SELECT e.p, e.c2{own} FROM {x} r JOIN {edges} e ON e.p = r.p AND e.c1 = r.c"
         elif x in CLOSURES:
             base, a, b = CLOSURES[x]
             body = f"SELECT p, {a} AS v1, {b} AS v2 FROM {base} UNION SELECT r.p, r.v1, e.{b} FROM {x} r JOIN {base} e ON e.p = r.p AND e.{a} = r.v2"
         else:
-            body = SQL[x]
+            body = sql[x]
         parts.append(f"{x} AS ({body})")
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
 
@@ -129,12 +151,12 @@ def oracle(name: str) -> str:
     return clause(name) + f"SELECT * FROM {name}"
 
 
-HIDDEN = {"orders_", "customers_", "items_", "inner_root", "used_value", "source_kind", "input_available", "acall", "call_before", "inner_edge"}
+HIDDEN = {"orders_", "customers_", "items_", "inner_root", "used_value", "source_kind", "input_asked", "passed_on", "passed", "input_missing", "declared", "flow_pair", "acall", "call_before", "inner_edge", "untrusted_reached", "witness"} | {f"witness_{i}" for i in range(1, 6)} | {f"{k}_{x}" for k in ("untrusted", "sensitive", "secret") for x in ("start", "reach")}
 NAMES = [n for n in [*(x for x in FACTS if x in ("call_action_arg", "value")), *DERIVED, *REACH, *CLOSURES] if n not in HIDDEN]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: lambda spark, sf_dir, n=n: relation(spark, sf_dir, n) for n in NAMES} | extras.queries(relation)
+    return {n: lambda spark, sf_dir, n=n: relation(spark, sf_dir, n) for n in NAMES} | extras.queries(relation, findings_of, audit)
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions.datalog_text import parse_text
 from lodestrata.functions.units import units
 from lodestrata.operators import alignment
+from lodestrata.operators.closure import settle
 from lodestrata.operators.datalog import evaluate
 from lodestrata.plans import documents, fact_checks, findings
 from lodestrata.sources.fact_text import scan
@@ -71,8 +72,7 @@ SELECT o_custkey // 5 AS p, o_orderkey AS ok, CASE WHEN o_orderkey % 13 = 0 THEN
 
 
 def fact_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet").createOrReplaceTempView("lodestrata_orders")
-    lines = spark.sql(_LINES.replace("FROM orders", "FROM lodestrata_orders"))
+    lines = spark.sql(_LINES.replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet"))
     joined = lines.groupBy("p").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ok", "line"))), lambda x: x["line"]), "\n").alias("body"))
     head = F.when(F.col("p") % 10 != 0, F.concat(F.lit('#include "library.dl"\nskill("s'), F.col("p").cast("string"), F.lit('").\n'))).otherwise(F.lit(""))
     return joined.select("p", F.concat(head, "body").alias("text"))
@@ -107,6 +107,71 @@ FACT_SQL = {
         SELECT a.p, round(coalesce(c, 1.0), 6) AS coverage FROM (SELECT DISTINCT p FROM k) a LEFT JOIN (SELECT p, sum(hit)::DOUBLE / count(*) AS c FROM f GROUP BY p) b ON a.p = b.p""",
 }
 
+# ---- every check code: small programs of customers, each with one planted defect by its number
+
+_SOUND = """skill("s").
+action("a", "s").
+call("c1", "a").
+call("c2", "a").
+call_unconditional("c1", "c2").
+value("v", "a", "local").
+call_input("c1", "v").
+"""
+#: Lines beside the sound ones, and the codes that they bring.
+DEFECTS = [
+    ("", ""),
+    ('call("c3" "a"', "SDL001"),
+    ('called("x").', "SDL002"),
+    ('call("c9").', "SDL003"),
+    ('skill("t").', "SDL005"),
+    ('action("b", "t").', "SDL010"),
+    ('action_trigger("q", "llm").', "SDL011"),
+    ('call("c3", "q").', "SDL012"),
+    ('call_effect("z", "stdout").', "SDL013"),
+    ('call_unconditional("c2", "z").', "SDL014"),
+    ('call_action("c1", "q").', "SDL015"),
+    ('value("w", "q", "local").', "SDL016"),
+    ('value_secret_allowed_action("w", "a").', "SDL017"),
+    ('value_secret_allowed_action("v", "q").', "SDL018"),
+    ('call_effect("c1", "fly").', "SDL020"),
+    ('action_trigger("a", "never").', "SDL021"),
+    ('skill_doc_claim("s", "safe").', "SDL022"),
+    ('value("w", "a", "odd").', "SDL023"),
+    ('call_code("c1", "none").', "SDL024"),
+    ('action_gate("a", "none").', "SDL025"),
+    ('call_input("c1", "v").', "SDL030"),
+    ('action("b", "s").\ncall("d", "b").\ncall_unconditional("c1", "d").', "SDL031"),
+    ('call_unconditional("c2", "c1").', "SDL032"),
+    ('call("c3", "a").\ncall("c4", "a").\ncall_conditional("c3", "c4", "v").\ncall_conditional("c4", "c3", "v").', "SDL033"),
+    ('call_output("c1", "w").', "SDL040"),
+    ('value("w", "a", "secret").', "SDL050"),
+    ('value("w", "a", "secret").\nvalue("w", "a", "sensitive_local").', "SDL051"),
+    ('call_region_untrusted("c1").\ncall_region_sensitive("c1").', "SDL060"),
+    ('call_region_untrusted("c1").\ncall_region_secret("c1").', "SDL061"),
+    ('evidence_unit("su_0", 0).\ncall_evidence("c1", "su_9").', "EVD010"),
+    ('call_evidence("c9", "su_0").', "EVD011"),
+    ('call("d", "a").\ncall("d", "b").\naction("b", "s").\ncall_unconditional("c1", "d").', "SDL031"),
+]
+_CHECKS = ("check_fk", "check_enum", "check_cross", "check_root", "check_unreachable", "check_value_defined", "check_policy", "check_conflict")
+
+
+def audit_codes(spark: SparkSession, sf_dir: str, audit: Callable) -> DataFrame:
+    """(p, code, n): issues of each program, warnings of missing evidence aside."""
+    p = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet").select(F.floor(F.col("o_custkey") / 5).cast("long").alias("p")).distinct()
+    lines = F.array(*(F.lit(_SOUND + text) for text, _ in DEFECTS))
+    texts = p.select("p", F.element_at(lines, (F.col("p") % len(DEFECTS) + 1).cast("int")).alias("text"))
+    facts = settle(scan(texts))
+    found = fact_checks.text_issues(facts, texts.select("p")).where("code <> 'EVD012'").select("p", "code")
+    for name in _CHECKS:
+        found = found.unionByName(audit(facts, name).select("p", "code"))
+    return found.groupBy("p", "code").agg(F.count("*").alias("n"))
+
+
+CODES_SQL = {
+    "audit_codes": f"""SELECT p, code, 1 AS n FROM (SELECT DISTINCT o_custkey // 5 AS p FROM orders)
+        JOIN (VALUES {", ".join(f"({i}, '{code}')" for i, (_, code) in enumerate(DEFECTS))}) v(i, code) ON p % {len(DEFECTS)} = i WHERE code <> ''""",
+}
+
 # ---- alignment: turns of users are the quotes, turns of assistants the units of a conversation
 
 
@@ -192,10 +257,7 @@ DOC_SQL = {
 # ---- reports
 
 
-def _finding_queries(relation: Callable) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return relation(spark, sf_dir, "findings_all").select("p", "label", F.split("fields", r"\|").alias("fields"), "severity")
-
+def _finding_queries(listed: Callable) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "finding_facts": lambda spark, sf_dir: findings.finding_facts(listed(spark, sf_dir)),
         "finding_rules": lambda spark, sf_dir: findings.sarif_rules(listed(spark, sf_dir)),
@@ -213,9 +275,9 @@ def _finding_sql(clause: Callable) -> dict[str, str]:
     }
 
 
-def queries(relation: Callable) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries(relation: Callable, findings_of: Callable, audit: Callable) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {f.__name__: f for f in (fact_classes, fact_issues, fact_support, align_best, align_metrics, doc_inventory, doc_hash, doc_map, doc_units)}
-    return {n: _program(n, relation) for n in PROGRAMS} | own | _finding_queries(relation)
+    return {n: _program(n, relation) for n in PROGRAMS} | own | _finding_queries(findings_of) | {"audit_codes": lambda spark, sf_dir: audit_codes(spark, sf_dir, audit)}
 
 
 def oracle_sql(clause: Callable) -> dict[str, str]:
@@ -225,4 +287,4 @@ def oracle_sql(clause: Callable) -> dict[str, str]:
         + """SELECT DISTINCT k.p, k.c, e.kind, 'checked' AS note FROM call k JOIN call_effect e ON e.p = k.p AND e.c = k.c WHERE (e.kind = 'proc_exec' OR e.kind LIKE '%write%') AND k.a <> '7'
           AND NOT EXISTS (SELECT 1 FROM action_gate g WHERE g.p = k.p AND g.a = k.a AND g.kind = 'human_approval') AND NOT EXISTS (SELECT 1 FROM call_region_secret r WHERE r.p = k.p AND r.c = k.c)
           UNION SELECT x.p, x.c1, 'loop', 'cycle' FROM call_unconditional x JOIN call_unconditional y ON x.p = y.p AND x.c2 = y.c1 AND x.c1 = y.c2""",
-    } | FACT_SQL | ALIGN_SQL | DOC_SQL | _finding_sql(clause)
+    } | FACT_SQL | CODES_SQL | ALIGN_SQL | DOC_SQL | _finding_sql(clause)

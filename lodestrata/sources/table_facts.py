@@ -18,7 +18,9 @@ EFFECTS = "action_call agent_call chain_write code_eval crypto_sign db_read db_w
 TRIGGERS = "external llm on_import on_install"
 GATES = "allowlist budget_limit confirmation_prompt credential_bound human_approval"
 CLAIMS = "credential_bound local_only no_fs_write no_network read_only"
-VALUE_KINDS = "param untrusted secret sensitive_local literal derived local local"
+VALUE_KINDS = "derived literal local param secret sensitive_local untrusted"
+#: Kind of each slot of a customer's values.
+SLOTS = "param untrusted secret sensitive_local literal derived local local"
 CODES = "encoded_binary inline_code obfuscated script shell unresolved_target"
 
 FACTS: dict[str, str] = {
@@ -42,9 +44,13 @@ FACTS: dict[str, str] = {
     "call_region_secret": "SELECT p, CAST(ok AS STRING) AS c FROM orders_ WHERE ok % 9 = 0",
     "call_input": "SELECT DISTINCT p, CAST(ok AS STRING) AS c, CAST(cust * 8 + slot AS STRING) AS v FROM items_ WHERE side = 1",
     "call_output": "SELECT DISTINCT p, CAST(ok AS STRING) AS c, CAST(cust * 8 + slot AS STRING) AS v FROM items_ WHERE side = 0",
-    "value": f"SELECT DISTINCT p, CAST(cust * 8 + slot AS STRING) AS v, CAST(cust AS STRING) AS a, {_pick('slot', VALUE_KINDS)} AS kind FROM items_ WHERE slot < 7 OR cust % 10 <> 0",
+    "value": f"SELECT DISTINCT p, CAST(cust * 8 + slot AS STRING) AS v, CAST(cust AS STRING) AS a, {_pick('slot', SLOTS)} AS kind FROM items_ WHERE slot < 7 OR cust % 10 <> 0",
     "call_action": "SELECT o.p, CAST(ok AS STRING) AS c, CAST(following AS STRING) AS a FROM orders_ o JOIN customers_ k ON o.cust = k.cust WHERE nx IS NULL AND following IS NOT NULL",
     "call_action_arg": "SELECT i.p, i.c, i.v AS v1, CAST(CAST(k.a AS BIGINT) * 8 AS STRING) AS v2 FROM call_output i JOIN call_action k ON i.p = k.p AND i.c = k.c",
     "value_sensitive_allowed_action": "SELECT p, CAST(cust * 8 + 3 AS STRING) AS v, CAST(cust AS STRING) AS a FROM customers_ WHERE cust % 2 = 0",
     "value_secret_allowed_action": "SELECT p, CAST(cust * 8 + 2 AS STRING) AS v, CAST(cust AS STRING) AS a FROM customers_ WHERE cust % 3 = 0",
+    "program": "SELECT DISTINCT p FROM orders_",
+    # of repeated declarations the last holds; here none is repeated
+    "call_home": "SELECT p, c, a FROM call",
+    "value_kind": "SELECT p, v, kind FROM value",
 }

@@ -1,91 +1,101 @@
-"""Small fact programs through the scanner and the rule library: what must fire, and what must not."""
+"""The rule library, rule by rule: a program fires with all the facts that a rule reads, and stops as soon as one of them goes
+or a fact that the rule denies comes in. Cases are made from the table below, one program for each."""
 
 import pytest
 
 from lodestrata.plans.catalog import audit
 from lodestrata.sources.fact_text import scan
 
-# p -> facts, several to a line here; split at the full stops below
-PROGRAMS = {
-    1: "skill(k). action(go, k). value(pay, go, untrusted). call(run, go). call_effect(run, proc_exec). call_input(run, pay). call_region_untrusted(run)",
-    2: "skill(k). skill_doc_claim(k, read_only). action(go, k). action_param(go, api_key, par). action_trigger(go, on_install). value(par, go, param). value(mid, go, untrusted). value(goal, go, untrusted). value(hid, go, secret)."
-    "call(get, go). call_effect(get, net_read). call_region_untrusted(get). call_output(get, mid). call(run, go). call_effect(run, proc_exec). call_input(run, goal). call_unconditional(get, run). call_code(run, obfuscated)."
-    "call(out, go). call_effect(out, net_write). call_region_untrusted(out). call_input(out, hid). call(cred, go). call_effect(cred, fs_read). call_region_secret(cred)",
-    3: "skill(k). action(go, k). action_gate(go, human_approval). action_param(go, text, par). value(par, go, param). value(hid, go, secret). call(run, go). call_effect(run, proc_exec). call_input(run, par). call(out, go). call_effect(out, net_write). call_region_untrusted(out). call_input(out, hid)",
-    4: "skill(k). action(ext, k). action_trigger(ext, external). action_param(ext, hook, in1). value(in1, ext, param). value(out1, ext, derived). call(recv, ext). call_effect(recv, net_read). call_region_untrusted(recv). call_input(recv, in1). call_output(recv, out1)."
-    "action(priv, k). action_param(priv, cmd, in2). value(in2, priv, param). call(run, priv). call_effect(run, proc_exec). call_input(run, in2)",
-    5: "skill(k). action(go, k). action_param(go, query, q). action_param(go, api_key, hid). value(q, go, param). value(hid, go, secret). value_secret_allowed_action(hid, go). call(say, go). call_effect(say, stdout). call_input(say, q). call_input(say, hid)",
-    6: "skill(k). action(go, k). call(x, go). call_effect(x, stdout). call_code(x, obfuscated). call(y, go). call_effect(y, stdout). call_code(y, encoded_binary). call_unconditional(x, y). call_unconditional(y, x)",
-    7: "skill(k). action(go, k). value(host, go, literal). call(beat, go). call_effect(beat, net_read). call_region(beat, host). call_region_untrusted(beat). call_code(beat, unresolved_target)",
-    8: "skill(k). action(go, k). action_param(go, dest, par). value(par, go, param). value(loc, go, sensitive_local). value(other, go, sensitive_local). value_sensitive_allowed_action(other, go). call(look, go). call_effect(look, fs_list). call_region_sensitive(look)."
-    "call(out, go). call_effect(out, net_write). call_region_untrusted(out). call_input(out, loc). call(say, go). call_effect(say, stdout). call_input(say, other). call_input(say, par)",
-    9: "skill(k). action(go, k). value(made, go, derived). value(cond, go, untrusted). call(ask, go). call_effect(ask, agent_call). call_region_untrusted(ask). call_output(ask, made). call(run, go). call_effect(run, proc_exec). call_input(run, made). call_unconditional(ask, run)."
-    "call(look, go). call_effect(look, fs_read). call_output(look, cond). call(chain, go). call_effect(chain, chain_write). call_conditional(look, chain, cond)",
-    10: "skill(k). action(go, k). action_param(go, text, par). value(par, go, param). value(fix, go, literal). value(var, go, derived). call(load, go). call_effect(load, fs_read). call_input(load, par). call_output(load, fix). call_output(load, var)."
-    "call(run1, go). call_effect(run1, proc_exec). call_input(run1, fix). call_unconditional(load, run1). call(run2, go). call_effect(run2, proc_exec). call_input(run2, var). call_unconditional(load, run2)",
-    # derived taint alone makes no dropper and no beacon: these rules want the explicit mark
-    11: "skill(k). action(go, k). value(pay, go, untrusted). value(made, go, derived). call(get, go). call_effect(get, net_read). call_input(get, pay). call_output(get, made). call_code(get, unresolved_target). call_region(get, pay). call(run, go). call_effect(run, proc_exec). call_input(run, made). call_unconditional(get, run)",
-}
+# label, row, facts that the rule reads (each needed), facts that hold besides, facts that stop it (each enough)
+ACT, CALL = "action(do, job)", "call(one, do)"
+RULES = [
+    ("dangerous_execution_primitives", "job do one", [ACT, CALL, "call_effect(one, proc_exec)", "call_region_untrusted(one)"], [], []),
+    ("dangerous_execution_primitives", "job do one", [ACT, CALL, "call_effect(one, code_eval)", "call_code(one, encoded_binary)"], [], []),
+    ("dangerous_execution_primitives", "job do one", [ACT, CALL, "call_effect(one, proc_exec)", "call_input(one, x)", "value(x, do, untrusted)"], [], []),
+    ("dangerous_execution_primitives", "job do two", [ACT, CALL, "call(two, do)", "call_effect(one, net_read)", "call_effect(two, proc_exec)", "call_unconditional(one, two)"], [], []),
+    ("behavior_claim_contradiction", "job do one local_only agent_call", [ACT, CALL, "call_effect(one, agent_call)", "skill_doc_claim(job, local_only)"], [], []),
+    ("unverifiable_dependency_source", "job do two one", [ACT, CALL, "call(two, do)", "call_region_untrusted(one)", "call_effect(one, agent_call)", "call_output(one, x)", "value(x, do, local)", "call_input(two, x)", "call_effect(two, code_eval)"], [], []),
+    ("unverifiable_dependency_source", "job do one one", [ACT, CALL, "call_region_untrusted(one)", "call_code(one, unresolved_target)", "call_effect(one, net_read)"], [], []),
+    ("unsanitized_context_ingestion", "job do one x", [ACT, CALL, "call_effect(one, crypto_sign)", "call_input(one, x)", "value(x, do, param)"], [], ["action_gate(do, human_approval)", "value(x, do, literal)"]),
+    ("unsanitized_context_ingestion", "job do one x", [ACT, CALL, "call_effect(one, chain_write)", "call_input(one, y)", "call_input(two, x)", "call_output(two, y)", "value(x, do, untrusted)"], ["value(y, do, derived)", "call(two, do)"], []),
+    ("unsanitized_context_ingestion", "job do one x", [ACT, CALL, "call_effect(one, proc_exec)", "call_input(one, y)", "action(other, job)", "call(two, other)", "call_output(two, x)", "call_region_untrusted(two)", "call_effect(two, db_read)", "action_param(do, name, y)"], ["value(y, do, derived)"], []),
+    ("implicit_egress_channels", "job do one secret x", [ACT, CALL, "call_effect(one, net_write)", "call_region_untrusted(one)", "call_input(one, x)", "value(x, do, secret)"], [], ["action_gate(do, human_approval)"]),
+    ("implicit_egress_channels", "job do one sensitive_local x", [ACT, CALL, "call_effect(one, agent_call)", "call_region_untrusted(one)", "call_input(one, x)", "value(x, do, sensitive_local)"], [], ["action_gate(do, human_approval)"]),
+    ("sensitive_local_resource_overreach", "job do one secret x", [ACT, CALL, "call_input(one, x)", "value(x, do, secret)"], [], ["value_secret_allowed_action(x, do)"]),
+    ("sensitive_local_resource_overreach", "job do one sensitive_local x", [ACT, CALL, "call_input(one, x)", "value(x, do, sensitive_local)", "call_effect(one, net_write)", "call_region_untrusted(one)"], ["value_sensitive_allowed_action(x, do)"], []),
+    ("sensitive_local_resource_overreach", "job do one secret x", [ACT, CALL, "call_input(one, x)", "value(x, do, secret)", "call_input(one, q)", "value(q, do, param)"], ["value_secret_allowed_action(x, do)"], ["action_gate(do, human_approval)"]),
+    ("ungated_irreversible_operation", "job do one", [ACT, CALL, "call_effect(one, crypto_sign)"], [], ["action_gate(do, allowlist)", "action_gate(do, human_approval)"]),
+    ("hardcoded_c2_communication", "job do one x", [ACT, CALL, "call_effect(one, net_write)", "call_region(one, x)", "call_region_untrusted(one)", "call_code(one, unresolved_target)"], [], []),
+    ("shadow_credentials", "job do one secret", [ACT, CALL, "call_effect(one, env_read)", "call_region_secret(one)", "call(two, do)", "call_effect(two, net_write)", "call_region_untrusted(two)"], [], []),
+    ("shadow_credentials", "job do one sensitive_local", [ACT, CALL, "call_effect(one, db_read)", "call_region_sensitive(one)", "call(two, do)", "call_effect(two, agent_call)", "call_region_untrusted(two)"], [], []),
+    ("obfuscation", "job do one encoded_binary", [ACT, CALL, "call_code(one, encoded_binary)"], [], []),
+    ("dormant_malicious_payload", "job do one remote_killswitch", [ACT, CALL, "call_effect(one, code_eval)", "call_conditional(two, one, x)", "value(x, do, untrusted)"], [], []),
+    ("dormant_malicious_payload", "job do one obfuscated", [ACT, CALL, "call_code(one, obfuscated)"], [], []),
+    ("dormant_malicious_payload", "job do one dead_obfuscated", [ACT, CALL, "call_code(one, obfuscated)", "call_unconditional(two, one)"], ["call(two, do)", "call_unconditional(one, two)"], []),
+    # what calls put out counts as untrusted for a sink, not as the mark that these two rules ask for
+    ("hardcoded_c2_communication", None, [], [ACT, CALL, "call_effect(one, net_read)", "call_region(one, x)", "call_input(one, x)", "value(x, do, untrusted)", "call_code(one, unresolved_target)"], []),
+    ("unverifiable_dependency_source", None, [], [ACT, CALL, "call(two, do)", "call_effect(one, net_read)", "call_output(one, x)", "call_input(two, x)", "value(x, do, untrusted)", "call_effect(two, proc_exec)"], []),
+]
+
+
+def cases():
+    for label, row, needed, held, stops in RULES:
+        yield label, row, needed + held, row is not None
+        for gone in needed:
+            yield label, row, [f for f in needed if f != gone] + held, False
+        for stop in stops:
+            yield label, row, [*needed, *held, stop], False
+
+
+def text_of(facts):
+    return "".join(f"{f}.\n" for f in facts)
 
 
 @pytest.fixture(scope="module")
-def found(spark):
-    texts = [(p, "".join(f.strip() + ".\n" for f in t.split("."))) for p, t in PROGRAMS.items()]
-    facts = scan(spark.createDataFrame(texts, "p long, text string"))
+def rows(spark):
+    facts = scan(spark.createDataFrame([(p, text_of(case[2])) for p, case in enumerate(cases())], "p long, text string"))
     assert facts.where("class <> 'core'").count() == 0
-    rows = audit(facts, "findings_all").collect()
-    return {(p, label): {tuple(r.fields.split("|")[1:]) for r in rows if (r.p, r.label) == (p, label)} for p, label in {(r.p, r.label) for r in rows}}
-
-
-DANGER, GATE, TAINT, EGRESS = "dangerous_execution_primitives", "ungated_irreversible_operation", "unsanitized_context_ingestion", "implicit_egress_channels"
-OVER, DROP, SHADOW, DORMANT = "sensitive_local_resource_overreach", "unverifiable_dependency_source", "shadow_credentials", "dormant_malicious_payload"
-
-
-def test_minimal(found):
-    assert found[1, DANGER] == {("go", "run")} and found[1, GATE] == {("go", "run")} and found[1, TAINT] == {("go", "run", "pay")}
-
-
-def test_rich(found):
-    assert found[2, "behavior_claim_contradiction"] == {("go", "out", "read_only", "net_write")}
-    assert found[2, "obfuscation"] == {("go", "run", "obfuscated")} and found[2, SHADOW] == {("go", "cred", "secret")}
-    assert (len(found[2, EGRESS]), len(found[2, TAINT]), len(found[2, DROP])) == (2, 3, 1)
-
-
-def test_strong_gate(found):
-    assert not {(3, TAINT), (3, EGRESS), (3, GATE)} & set(found) and ("go", "run") in found[3, DANGER]
-
-
-def test_across_actions(found):
-    assert {("priv", "run", "out1"), ("priv", "run", "in1")} <= found[4, TAINT]
+    return {(r.p, r.label, " ".join(r.fields)) for r in audit(facts, "findings_all").collect()}
 
 
-def test_joint_ingress(found):
-    assert ("go", "say", "secret", "hid") in found[5, OVER]
-    assert ("go", "say", "sensitive_local", "other") in found[8, OVER]
+@pytest.mark.parametrize(("p", "case"), list(enumerate(cases())))
+def test_rule(rows, p, case):
+    label, row, _, fires = case
+    if row is None:
+        assert not any((n, x) == (p, label) for n, x, _ in rows)
+    else:
+        assert ((p, label, row) in rows) == fires
 
 
-def test_dead_payload(found):
-    assert found[6, DORMANT] == {("go", "x", "obfuscated"), ("go", "y", "encoded_binary"), ("go", "x", "dead_obfuscated"), ("go", "y", "dead_encoded_binary")}
+def test_fields_stay_apart(spark):
+    facts = scan(spark.createDataFrame([(1, 'action("a|b", "s|1").\ncall("c", "a|b").\ncall_code("c", obfuscated).\n')], "p long, text string"))
+    assert ["s|1", "a|b", "c", "obfuscated"] in [r.fields for r in audit(facts, "findings_all").where("label = 'obfuscation'").collect()]
 
 
-def test_beacon(found):
-    assert found[7, "hardcoded_c2_communication"] == {("go", "beat", "host")} and ("go", "beat", "beat") in found[7, DROP]
-    assert (11, "hardcoded_c2_communication") not in found and (11, DROP) not in found and (11, DANGER) in found
-
-
-def test_sensitive(found):
-    assert ("go", "out", "sensitive_local", "loc") in found[8, EGRESS] and ("go", "look", "sensitive_local") in found[8, SHADOW] and ("go", "out", "sensitive_local", "loc") in found[8, OVER]
+def test_single_skill(spark):
+    texts = [(1, "skill(k).\n"), (2, "action(go, k).\n"), (3, "skill(k).\nskill(k).\n"), (4, "skill(k).\nskill(l).\n")]
+    facts = scan(spark.createDataFrame(texts, "p long, text string"))
+    assert {tuple(r) for r in audit(facts, "check_single").collect()} == {(2, "SDL005", 0), (3, "SDL005", 2), (4, "SDL005", 2)}
 
 
-def test_agent_and_switch(found):
-    assert ("go", "run", "ask") in found[9, DROP] and ("go", "chain", "remote_killswitch") in found[9, DORMANT]
+def test_last_declaration_holds(spark):
+    two = ["call(x, a)", "call(x, b)", "call(y, b)", "call_unconditional(x, y)", "value(v, a, secret)", "value(v, a, local)"]
+    facts = scan(spark.createDataFrame([(1, text_of(two)), (2, text_of([two[1], two[0], *two[2:4], two[5], two[4]]))], "p long, text string"))
+    assert [r.p for r in audit(facts, "check_cross").collect()] == [2]
+    assert [r.p for r in audit(facts, "check_policy").collect()] == [2]
 
 
-def test_literal_sink(found):
-    assert found[10, TAINT] == {("go", "run2", "par")} and {("go", "run1"), ("go", "run2")} <= found[10, DANGER]
+def test_availability(spark):
+    texts = [
+        ["skill(s)"],
+        ["call(c, a)", "value(v, a, local)", "call_input(c, v)", "call_input(ghost, v)"],
+        ["call(c, a)", "call(d, a)", "call(e, a)", "call_unconditional(c, d)", "call_conditional(d, e, q)", "call_output(c, v)", "call_input(e, v)", "call_input(c, v)", "call_input(d, z)", "action_param(a, n, z)"],
+    ]
+    facts = scan(spark.createDataFrame([(p, text_of(t)) for p, t in enumerate(texts)], "p long, text string"))
+    assert {r.p: r.availability for r in audit(facts, "metric_availability").collect()} == {0: 1.0, 1: 0.5, 2: round(2 / 3, 6)}
 
 
-def test_single_skill(spark):
-    texts = [(1, "skill(k).\n"), (2, "action(go, k).\n"), (3, "skill(k).\nskill(k).\n"), (4, "skill(k).\nskill(l).\n")]
-    facts = scan(spark.createDataFrame(texts, "p long, text string"))
-    assert {tuple(r) for r in audit(facts, "check_single").collect()} == {(2, "SDL005", 0), (3, "SDL005", 2), (4, "SDL005", 2)}
+def test_unreachable_calls_are_listed(spark):
+    text = text_of(["call(a, x)", "call(d, x)", "call(b, x)", "call_unconditional(d, b)", "call_unconditional(b, d)"])
+    facts = scan(spark.createDataFrame([(1, text)], "p long, text string"))
+    assert [tuple(r) for r in audit(facts, "check_unreachable").collect()] == [(1, "SDL033", "x", "b, d")]
