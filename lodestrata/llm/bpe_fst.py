@@ -11,8 +11,10 @@ starts have in common is written at once, which bounds the lookahead by the
 longest token and lets states recur. States and transitions are made when first
 met, and dropped together when they grow past a bound (they are a cache).
 
-Decoding maps ids to bytes; an incremental UTF-8 state machine gives text as soon
-as a character is whole, however the bytes are split.
+Decoding feeds the tokens' bytes to an incremental UTF-8 state machine, which gives
+text as soon as a character is whole, however the bytes are split. What the machine
+does with a token from its initial state, where it mostly is, is kept per token; a
+token that leaves it amid a character, or meets it there, goes through byte by byte.
 
 Edge cases: null and empty texts have no tokens, and the digests of no bytes;
 text that looks like a special token is ordinary text; repeated rows are encoded
@@ -240,40 +242,76 @@ class Codec:
         self.find: Callable[[str], list[str]] = regex.compile(pattern).findall
         self.pieces = _Pieces(self.transducer)
         self.bytes_of = [self.transducer.bytes_of.get(i) for i in range(max(ranks.values(), default=-1) + 1)]
+        self.texts = _Texts(self)
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))))
 
-    def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def _text(self, i: int) -> str | None:
+        """What the machine gives for a token from its initial state, if it is there again afterwards."""
+        stream = Utf8Stream()
+        text = stream.feed(self.bytes_of[i])
+        return None if stream.left else text
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Text in pieces, each as soon as it is whole."""
-        stream = Utf8Stream()
+        stream, texts = Utf8Stream(), self.texts
         for i in ids:
-            if text := stream.feed(self.bytes_of[i]):
+            text = texts[i] if not stream.left else None
+            if text is None:
+                text = stream.feed(self.bytes_of[i])
+            if text:
                 yield text
         if text := stream.close():
             yield text
 
+    def decoded(self, ids: list[int]) -> str:
+        """The whole text; where no token leaves the machine amid a character, all its steps are known."""
+        texts = list(map(self.texts.__getitem__, ids))
+        return "".join(self.decode(ids) if None in texts else texts)
+
+
+class _Texts(dict):
+    """token -> its text from the machine's initial state, or None; filled as tokens come, at most one for each."""
+
+    def __init__(self, codec: Codec) -> None:
+        self.codec = codec
+
+    def __missing__(self, i: int) -> str | None:
+        self[i] = text = self.codec._text(i)
+        return text
+
+
+#: The codec that this worker used last; its caches are bounded.
+_last: list[tuple[object, str, Codec]] = []
+
+
+def _codec(ranks: dict[bytes, int], pattern: str) -> Codec:
+    if not (_last and _last[0][0] is ranks and _last[0][1] == pattern):
+        _last[:] = [(ranks, pattern, Codec(ranks, pattern))]
+    return _last[0][2]
+
 
 def _digests(ranks, pattern: str, keep_ids: bool):
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     schema = pa.schema([*fields, *([("ids", pa.list_(pa.int32()))] if keep_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the caches are many small objects without cycles
-        codec = Codec(ranks.value, pattern)
+        codec = _codec(ranks.value, pattern)
         names = [str(i) for i in range(len(codec.bytes_of))]
-        for doc_ids, texts in steps(batches):
-            rows, kept = [], []
-            for text in texts:
-                ids = codec.encode(text.decode("utf-8", "replace"))
-                rows.append((len(ids), hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode_bytes(ids)).hexdigest()))
-                if keep_ids:
-                    kept.append(ids)
-            columns = [pa.array(doc_ids, pa.int64()), *(pa.array(list(c), f[1]) for c, f in zip(zip(*rows, strict=True), fields[1:], strict=True))]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.list_(pa.int32()))] if keep_ids else [])], schema=schema)
+        gc.disable()  # the caches are many small objects without cycles
+        try:
+            for doc_ids, texts in steps(batches):
+                rows, kept = [], []
+                for text in texts:
+                    ids = codec.encode(text.decode("utf-8", "replace"))
+                    rows.append((len(ids), hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(codec.decoded(ids).encode()).hexdigest()))
+                    if keep_ids:
+                        kept.append(ids)
+                columns = [pa.array(doc_ids, pa.int64()), *(pa.array(list(c), f[1]) for c, f in zip(zip(*rows, strict=True), fields[1:], strict=True))]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.list_(pa.int32()))] if keep_ids else [])], schema=schema)
+        finally:
+            gc.enable()
 
     return run
 

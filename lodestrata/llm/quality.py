@@ -6,8 +6,9 @@ common words (each of ``COMMON`` and all others together). Their references are
 sums over all documents with the same ``lang``. The Jensen-Shannon distance
 (square root of the divergence to base 2, so 0 to 1) of each histogram from its
 reference is held against a threshold. Guards: a document under ``min_words``
-words, or whose language has under ``min_reference`` words in all, isn't judged
-by divergence.
+words isn't judged by divergence; one whose language has under ``min_reference``
+words in all is judged by its character classes alone, against the sum over all
+languages, and not at all if that is too small too.
 
 Only DataFrame functions are used. Texts are read once; what is kept of each
 document is a narrow row, from which references and verdicts follow. The
@@ -97,9 +98,13 @@ def verdicts(spark: SparkSession, measured: DataFrame, refs: DataFrame, min_word
     few = refs.count() <= MAX_BROADCAST_LANGUAGES
     df = measured.join(F.broadcast(refs) if few else refs, measured.lang.eqNullSafe(refs.ref_lang), "left")
     df = df.withColumn("class_distance", _distance("classes", "ref_classes")).withColumn("word_distance", _distance("commons", "ref_commons"))
+    whole = stash(spark, refs.agg(F.array(*(F.sum(F.col("ref_classes")[i]) for i in range(len(CLASSES)))).alias("all_classes"), F.sum("ref_words").alias("all_words")), "reference")
+    few_words = F.col("ref_words") < min_reference
+    df = df.crossJoin(F.broadcast(whole))  # one row
+    df = df.withColumn("class_distance", F.when(few_words, _distance("classes", "all_classes")).otherwise(F.col("class_distance"))).withColumn("word_distance", F.when(~few_words, F.col("word_distance")))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    guarded = (F.col("n_words") < min_words) | (F.col("ref_words") < min_reference)
-    far = (F.col("class_distance") > max_class) | (F.col("word_distance") > max_word)
+    guarded = (F.col("n_words") < min_words) | (F.col("all_words") < min_reference)
+    far = F.coalesce(F.col("class_distance") > max_class, F.lit(False)) | F.coalesce(F.col("word_distance") > max_word, F.lit(False))
     return df.withColumn("base_failed", base).withColumn("kept", ~base & (guarded | ~F.coalesce(far, F.lit(False))))
 
 

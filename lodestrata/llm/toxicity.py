@@ -13,7 +13,7 @@ them is one power of a 2x2 matrix; the marginals are those of the whole sequence
 Only the words of the text are inputs. Edge cases: null and empty texts, and texts
 without such words, get the score of no evidence; null labels are not learned
 from; without labelled rows of both kinds every score is 0; repeated rows are
-scored alike, and rows with null doc_id are scored and count as not held out;
+scored alike (of texts that repeat a doc_id the least is learned from), and rows with null doc_id are scored and count as not held out;
 empty tables give empty results; of documents only doc_id and text are read, of
 labels doc_id and toxic.
 """
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import batch_of, in_arrow, steps, text_docs
 
-#: Bound of the sample that the model is fitted on.
-MAX_TRAIN = 6000
+#: Bounds of the sample that the model is fitted on: rows, and bytes of a text (longer ones are scored, not learned from).
+MAX_TRAIN, MAX_TRAIN_BYTES = 6000, 256 << 10
 PREFIXES = (3, 4, 5)
 #: A feature must be in so many toxic documents, in that share of them, and so many times likelier in them than in others.
 MIN_TOXIC_DOCS = 3
@@ -233,7 +233,8 @@ def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train: i
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").where(~held)
     # ids first, so that the sample is chosen before any text moves
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").collect()
+    short = docs.where(F.octet_length("text") <= MAX_TRAIN_BYTES)
+    rows = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r.doc_id)
     field = fit([r.text.encode() for r in rows], [r.toxic for r in rows])
     found = in_arrow(docs, _scores(field), RESULT)

@@ -15,6 +15,8 @@ Edge cases: null html is an empty payload; null url gives the empty URL key; lin
 breaks in a url are dropped in headers; a null page_id is kept, and is a response
 only if no other page has its payload; rows repeating a page_id and payload:
 one is the response as far as ids tell, so all rows with the smallest id are.
+Every long is a page_id (dates begin anew after ``PERIOD``), one that is no number
+counts as null. A payload of any size is one record; a reader holds one archive.
 Empty tables give empty archives and results. Only page_id, url, html are read.
 """
 
@@ -27,34 +29,47 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import batch_of, empty, shared_dir, stash
+from lodestrata.llm.common import batch_of, empty, in_arrow, shared_dir, spread_join, stash
 from lodestrata.llm.loser_tree import merged
 
 MIN_REVISIT = 100
 #: Bounds an archive's size, so that a reader holds one archive.
 RECORDS_PER_FILE = 2000
-#: Captures have no time of their own in the table: page_id seconds after this.
-EPOCH = 1_700_000_000
-CAPTURE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, urlkey string, captured string, run string, place long"
-_SCHEMA = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("urlkey", pa.string()), ("captured", pa.string()), ("run", pa.string()), ("place", pa.int64())])
+#: Captures have no time of their own in the table: page_id seconds after this, beginning anew after a period.
+EPOCH, PERIOD = 1_700_000_000, 1_000_000_000
+#: Captures that a range of the merged index should hold.
+RANGE_ROWS = 200_000
+CAPTURE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, urlkey string, captured string, run string, place long, offset long, length long"
+_SCHEMA = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("urlkey", pa.string()), ("captured", pa.string()), ("run", pa.string()), ("place", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())])
+
+
+def _date(page_id: Column) -> Column:
+    """``EPOCH`` and the page's number of seconds, in UTC whatever the session's time zone; numbers of ``PERIOD`` and more begin anew."""
+    seconds = F.pmod(F.coalesce(page_id, F.lit(0)), F.lit(PERIOD)) + EPOCH
+    day, rest = F.floor(seconds / 86400).cast("int"), (seconds % 86400).cast("int")
+    clock = F.format_string("T%02d:%02d:%02dZ", F.floor(rest / 3600).cast("int"), F.floor(rest % 3600 / 60).cast("int"), rest % 60)
+    return F.concat(F.date_add(F.lit("1970-01-01").cast("date"), day).cast("string"), clock)
 
 
 def write_archives(spark: SparkSession, pages: DataFrame, path: str) -> None:
-    df = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    df = pages.select(F.col("page_id").try_cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     df = df.withColumn("digest", F.sha2("html", 256)).withColumn("size", F.octet_length("html"))
-    first = df.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    df = df.join(first, "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
+    # which records revisit is found on narrow rows, hot payloads by broadcast; payloads then move by page, not by digest
+    narrow = stash(spark, df.where(F.col("size") >= MIN_REVISIT).select("page_id", "digest"), "digests")
+    first = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = spread_join(narrow, first, "digest", narrow.count()).where(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))).distinct()
+    again = again.toDF("again_digest", "again_id", "first") if again.columns[0] == "digest" else again.toDF("again_id", "again_digest", "first")
+    df = df.join(again.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left")
+    revisit = F.col("first").isNotNull()
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     optional = lambda name, value: F.coalesce(line(name, value), F.lit(""))
-    seconds = F.coalesce(F.col("page_id"), F.lit(0)) + EPOCH
     record = F.concat(
         F.lit("WARC/1.0\r\n"), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), optional("WARC-Page-ID", F.col("page_id").cast("string")),
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">"))),
-        line("WARC-Date", F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")), optional("WARC-Target-URI", F.regexp_replace("url", "[\r\n]", "")),
+        line("WARC-Date", _date(F.col("page_id"))), optional("WARC-Target-URI", F.regexp_replace("url", "[\r\n]", "")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), line("WARC-Payload-Length", F.col("size").cast("string")),
         F.when(revisit, line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("first").cast("string"), F.lit(">")))).otherwise(""),
         line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("size").cast("string"))),
@@ -76,8 +91,8 @@ def url_key(url: str) -> str:
     return f"{','.join(reversed(labels))}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an archive."""
+def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
+    """Headers and block of each record of an archive, where it begins, and its length."""
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
@@ -86,7 +101,7 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             raise ValueError(f"no WARC record at byte {at}")
         headers = dict(x.split(": ", 1) for x in lines[1:])
         size = int(headers["Content-Length"])
-        yield headers, data[end + 4 : end + 4 + size]
+        yield headers, data[end + 4 : end + 4 + size], at, end + 4 + size - at
         at = end + 4 + size + 4
 
 
@@ -94,17 +109,17 @@ def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             rows = []
-            for headers, block in records(gzip.decompress(content.as_py())):
+            for headers, block, at, length in records(gzip.decompress(content.as_py())):
                 revisit = headers["WARC-Type"] == "revisit"
                 size, digest = (int(headers["WARC-Payload-Length"]), headers["WARC-Payload-Digest"][7:]) if revisit else (len(block), hashlib.sha256(block).hexdigest())
                 if digest != headers["WARC-Payload-Digest"][7:]:
                     raise ValueError(f"a payload of {path} differs from its digest")
                 page, url = headers.get("WARC-Page-ID"), headers.get("WARC-Target-URI", "")
                 refers = int(headers["WARC-Refers-To"][10:-1]) if revisit else None
-                rows.append((None if page is None else int(page), size, digest, headers["WARC-Type"], refers, url, url_key(url) if url else "", headers["WARC-Date"]))
+                rows.append((None if page is None else int(page), size, digest, headers["WARC-Type"], refers, url, url_key(url) if url else "", headers["WARC-Date"], at, length))
             rows.sort(key=_order)
-            columns = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in range(8)]
-            yield batch_of(_SCHEMA, [*columns, [path] * len(rows), list(range(len(rows)))])
+            columns = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in range(10)]
+            yield batch_of(_SCHEMA, [*columns[:8], [path] * len(rows), list(range(len(rows))), *columns[8:]])
 
 
 def _order(row: tuple) -> tuple:
@@ -112,10 +127,29 @@ def _order(row: tuple) -> tuple:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row per record; ``run`` names the archive, ``place`` is the row's in its archive's sorted run."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """A row per record; ``run`` names the archive, ``place`` is the row's in its archive's sorted run, and ``offset`` and
+    ``length`` are where the record stands in the unpacked archive."""
+    files, rows = spark.read.format("binaryFile").load(path).select("path", "content"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    return stash(spark, files.mapInArrow(_captures, CAPTURE), "captures")
+    try:
+        return stash(spark, files.mapInArrow(_captures, CAPTURE), "captures")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def fetched(spark: SparkSession, captures: DataFrame) -> DataFrame:
+    """(page_id, payload) of captures, read from their places in the archives; a revisit has none of its own."""
+    wanted = captures.groupBy("run").agg(F.collect_list(F.struct("page_id", "offset", "length")).alias("at"))
+    files = spark.read.format("binaryFile").load([r.run for r in wanted.select("run").toLocalIterator()]).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content, at in zip(*(batch.column(c).to_pylist() for c in ("content", "at")), strict=True):
+                data = gzip.decompress(content)
+                found = [(x["page_id"], next(records(data[x["offset"] : x["offset"] + x["length"]]))[1]) for x in at]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())], names=["page_id", "payload"])
+
+    return in_arrow(files.join(wanted, F.col("path") == F.col("run")), run, "page_id long, payload binary")
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,9 +171,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def capture_history(captures: DataFrame) -> DataFrame:
-    """All captures, globally ordered by URL key, time and page_id."""
-    captures.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    return captures.repartitionByRange("urlkey", "captured", "page_id").mapInArrow(_merge, CAPTURE)
+    """All captures, globally ordered by URL key, time and page_id, in ranges of about ``RANGE_ROWS``."""
+    n = max(1, -(-captures.count() // RANGE_ROWS))
+    return in_arrow(captures.repartitionByRange(n, "urlkey", "captured", "page_id"), _merge, CAPTURE)
 
 
 def archive_history(spark: SparkSession, pages: DataFrame, path: str | None = None) -> DataFrame:
