@@ -242,15 +242,16 @@ class Codec:
         self.find: Callable[[str], list[str]] = regex.compile(pattern).findall
         self.pieces = _Pieces(self.transducer)
         self.bytes_of = [self.transducer.bytes_of.get(i) for i in range(max(ranks.values(), default=-1) + 1)]
-        self.texts = _Texts(self)
+        #: Of each token, what the machine gives for it from its initial state, if it is there again afterwards.
+        self.texts = [None if t is None else self._text(t) for t in self.bytes_of]
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))))
 
-    def _text(self, i: int) -> str | None:
-        """What the machine gives for a token from its initial state, if it is there again afterwards."""
+    @staticmethod
+    def _text(token: bytes) -> str | None:
         stream = Utf8Stream()
-        text = stream.feed(self.bytes_of[i])
+        text = stream.feed(token)
         return None if stream.left else text
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
@@ -267,29 +268,10 @@ class Codec:
 
     def decoded(self, ids: list[int]) -> str:
         """The whole text; where no token leaves the machine amid a character, all its steps are known."""
-        texts = list(map(self.texts.__getitem__, ids))
-        return "".join(self.decode(ids) if None in texts else texts)
-
-
-class _Texts(dict):
-    """token -> its text from the machine's initial state, or None; filled as tokens come, at most one for each."""
-
-    def __init__(self, codec: Codec) -> None:
-        self.codec = codec
-
-    def __missing__(self, i: int) -> str | None:
-        self[i] = text = self.codec._text(i)
-        return text
-
-
-#: The codec that this worker used last; its caches are bounded.
-_last: list[tuple[object, str, Codec]] = []
-
-
-def _codec(ranks: dict[bytes, int], pattern: str) -> Codec:
-    if not (_last and _last[0][0] is ranks and _last[0][1] == pattern):
-        _last[:] = [(ranks, pattern, Codec(ranks, pattern))]
-    return _last[0][2]
+        try:
+            return "".join(map(self.texts.__getitem__, ids))
+        except TypeError:  # None: such a token
+            return "".join(self.decode(ids))
 
 
 def _digests(ranks, pattern: str, keep_ids: bool):
@@ -297,15 +279,15 @@ def _digests(ranks, pattern: str, keep_ids: bool):
     schema = pa.schema([*fields, *([("ids", pa.list_(pa.int32()))] if keep_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks.value, pattern)
-        names = [str(i) for i in range(len(codec.bytes_of))]
+        codec = Codec(ranks.value, pattern)  # of this task: a worker that waits holds no caches
+        names = [b"%d" % i for i in range(len(codec.bytes_of))]
         gc.disable()  # the caches are many small objects without cycles
         try:
             for doc_ids, texts in steps(batches):
                 rows, kept = [], []
                 for text in texts:
                     ids = codec.encode(text.decode("utf-8", "replace"))
-                    rows.append((len(ids), hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(codec.decoded(ids).encode()).hexdigest()))
+                    rows.append((len(ids), hashlib.sha256(b" ".join(map(names.__getitem__, ids))).hexdigest(), hashlib.sha256(codec.decoded(ids).encode()).hexdigest()))
                     if keep_ids:
                         kept.append(ids)
                 columns = [pa.array(doc_ids, pa.int64()), *(pa.array(list(c), f[1]) for c, f in zip(zip(*rows, strict=True), fields[1:], strict=True))]

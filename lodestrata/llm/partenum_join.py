@@ -46,9 +46,12 @@ from lodestrata.llm.hashing import hashed_words, mix, shingles
 
 #: Largest size of a band over its smallest.
 BAND_RATIO = 1.4
-#: A block of a cluster holds at most so many sets, and so many shingles unless it is one set.
+#: A block of a cluster holds at most so many sets, and so many shingles unless it is one set; where only parities are
+#: compared, which are a fortieth of the elements, so many.
 BLOCK_SETS = 256
 BLOCK_ITEMS = 256 * 1024
+PARITY_SETS = 4096
+PARITY_ITEMS = 4096 * 1024
 #: Shingles whose columns are multiplied at once.
 COLUMNS = 4096
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("t", pa.binary()), ("n", pa.int64()), ("h", pa.int64()), ("par", pa.binary())])
@@ -224,18 +227,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("c", common).where(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * percent).select("a", "b")
 
 
-def _blocks(spark: SparkSession, members: DataFrame, side: DataFrame, percent: int) -> DataFrame:
+def _blocks(spark: SparkSession, members: DataFrame, side: DataFrame, percent: int, most_sets: int = BLOCK_SETS, most_items: int = BLOCK_ITEMS) -> DataFrame:
     """members(cluster, h, root, n) with the columns of ``side``, for each two blocks to compare (cluster, i, j)."""
-    whole = F.sum(F.col("n") + BLOCK_ITEMS // BLOCK_SETS).alias("whole")
-    total = members.count()
-    # a component that fills a block has blocks of its own, the others share theirs; sizes come by broadcast where many members ask
-    part = F.xxhash64("cluster", "root")
-    members = spread_join(members, members.groupBy("cluster").agg(whole, F.count("*").alias("n")), "cluster", total).withColumn("part", part)
-    parts = members.groupBy("part").agg(F.sum(F.col("n") + BLOCK_ITEMS // BLOCK_SETS).alias("own"), F.count("*").alias("n"))
-    members = spread_join(members, parts, "part", total)
-    alone = F.xxhash64("part", F.pmod(F.xxhash64("h"), F.ceil(F.col("own") / BLOCK_ITEMS)))
-    members = members.withColumn("block", F.when(F.col("own") >= BLOCK_ITEMS, alone).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("whole") / BLOCK_ITEMS))))
-    members = settle(spark, members.select("cluster", "h", "root", "n", "block"))
+    members = members.withColumn("block", F.expr(f"(sum(n + {most_items // most_sets}) over (partition by cluster order by root, h rows unbounded preceding)) div {most_items}"))
+    members = settle(spark, members)
     blocks = members.groupBy("cluster", "block").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
     one, two = blocks.toDF("cluster", "i", "r0", "r1", "n0", "n1"), blocks.toDF("cluster", "j", "s0", "s1", "m0", "m1")
     pairs = one.join(two, "cluster").where(f"i <= j and not (r0 = r1 and s0 = s1 and r0 = s0) and n1 * 100 >= m0 * {percent} and m1 * 100 >= n0 * {percent}").select("cluster", "i", "j")
@@ -255,7 +250,7 @@ def _late_links(spark: SparkSession, docs: DataFrame, open_: DataFrame, facts: D
     """
     cluster = components(spark, open_.select(F.col("c").alias("a"), F.col("h").alias("b"))).toDF("h", "cluster")
     members = settle(spark, open_.select("h", "root").distinct().join(cluster, "h").join(facts.select("h", "n"), "h").select("cluster", "h", "root", "n"))
-    work = _blocks(spark, members, facts.select("h", "par"), percent).select("cluster", "i", "j", "h", "root", "n", "par")
+    work = _blocks(spark, members, facts.select("h", "par"), percent, PARITY_SETS, PARITY_ITEMS).select("cluster", "i", "j", "h", "root", "n", "par")
     close = stash(spark, work.groupBy("cluster", "i", "j").applyInArrow(_block_close(percent), "h long").distinct(), "close")
     if close.isEmpty():
         return empty(spark, "a long, b long")
