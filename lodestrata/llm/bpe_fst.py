@@ -35,12 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm.common import in_arrow, steps, text_docs
 
-MAX_TRANSITIONS = 600_000
+MAX_TRANSITIONS = 450_000
 MAX_PIECES = 250_000
 #: A vocabulary file above this isn't broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _NONE = 1 << 60
+_STARTS = -1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -55,30 +56,30 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
-        # a trie: node << 8 | byte -> node
-        self.child: dict[int, int] = {}
+        # a trie: of each node its children by byte, or None, and its token or -1
+        self.child: list[dict[int, int] | None] = [{}]
         self.token: list[int] = [-1]
-        self.inner = [True]
         for t, i in ranks.items():
             node = 0
             for b in t:
-                to = self.child.get(node << 8 | b)
-                if to is None:
-                    to = self.child[node << 8 | b] = len(self.token)
+                below = self.child[node]
+                if below is None:
+                    below = self.child[node] = {}
+                node = below.setdefault(b, len(self.token))
+                if node == len(self.token):
                     self.token.append(-1)
-                    self.inner.append(False)
-                    self.inner[node] = True
-                node = to
+                    self.child.append(None)
             self.token[node] = i
         self.edges: dict[int, tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self._forget()
 
     def _forget(self) -> None:
-        start = ((0, -1, ()),)
-        self.states: list[tuple] = [start]
-        self.number = {start: 0}
-        self.step: dict[int, tuple[int, tuple[int, ...]]] = {}
+        # a state is a dict: byte -> (state, tokens written); its starts stand under _STARTS
+        starts = ((0, -1, ()),)
+        self.start: dict = {_STARTS: starts}
+        self.states = {starts: self.start}
+        self.transitions = 0
 
     def _parts(self, token: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]:
         """What stands at the left and at the right end of a token as it grows from bytes: (bytes, time it appears)."""
@@ -126,31 +127,38 @@ class Transducer:
         self.fits[a, b] = apart
         return apart
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        starts, end = [], None
-        for node, last, pending in self.states[state]:
-            to = self.child.get(node << 8 | byte)
+    def _move(self, state: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
+        child, tokens, fits = self.child, self.token, self.fits
+        starts, end, least = [], None, _NONE
+        for node, last, pending in state[_STARTS]:
+            to = child[node].get(byte)
             if to is None:
                 continue
-            token = self.token[to]
-            if token >= 0 and end is None and (last < 0 or self.neighbours(last, token)):
-                end = (0, token, (*pending, token))
-            if self.inner[to]:
+            if end is None and (token := tokens[to]) >= 0:
+                apart = last < 0 or fits.get((last, token))
+                if apart or (apart is None and self.neighbours(last, token)):
+                    end = (0, token, (*pending, token))
+            if child[to]:
                 starts.append((to, last, pending))
+                least = min(least, len(pending))
         if end is None:
             raise ValueError(f"byte {byte} can't be encoded with this vocabulary")
         starts.append(end)
-        common = 0
-        shortest = min(starts, key=lambda s: len(s[2]))[2]
-        while common < len(shortest) and all(s[2][common] == shortest[common] for s in starts):
-            common += 1
-        written = shortest[:common]
-        key = tuple((node, last, pending[common:]) for node, last, pending in starts)
-        to = self.number.get(key)
+        written = ()
+        if least:  # what all pending tokens have in common
+            common, first = 0, end[2]
+            least = min(least, len(first))
+            while common < least and all(s[2][common] == first[common] for s in starts):
+                common += 1
+            if common:
+                written = first[:common]
+                starts = [(node, last, pending[common:]) for node, last, pending in starts]
+        key = tuple(starts)
+        to = self.states.get(key)
         if to is None:
-            to = self.number[key] = len(self.states)
-            self.states.append(key)
-        found = self.step[state << 8 | byte] = (to, written)
+            to = self.states[key] = {_STARTS: key}
+        self.transitions += 1
+        found = state[byte] = (to, written)
         return found
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -158,15 +166,15 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if len(self.step) > MAX_TRANSITIONS:
+        if self.transitions > MAX_TRANSITIONS:
             self._forget()
-        step, state, out = self.step, 0, []
+        state, out = self.start, []
         for b in piece:
-            found = step.get(state << 8 | b)
-            state, written = self._move(state, b) if found is None else found
+            found = state.get(b)
+            state, written = found if found is not None else self._move(state, b)
             if written:
                 out += written
-        return (*out, *self.states[state][-1][2])  # the last start is the end of what was read
+        return (*out, *state[_STARTS][-1][2])  # the last start is the end of what was read
 
 
 class Utf8Stream:
