@@ -301,17 +301,24 @@ def scored(spark: SparkSession, docs: DataFrame, min_share: float = MIN_SHARE, d
     order = np.argsort(keys)
     hot = spark.sparkContext.broadcast((keys[order], often["value"].to_numpy()[order]))
     likely = spark.sparkContext.broadcast(_bits(values))
+    drop_stashes(spark, made()[-1:])  # the keys of frequent runs; nothing but the broadcast needs them
+    release(spark)
 
     part = in_arrow(docs, _scores(hot, likely, frequent, end, depth), "row long, doc_id long, n_tokens long, gain double, known long, part double, rest array<long>")
-    part = stash(spark, part, "parts")
-    release(spark)
     value = F.log10((F.col("train") + 0.5) / F.lit(below))
     rare = words.where(F.col("every") < least).select("key", value.alias("value"), (F.col("train") > 0).cast("long").alias("is_known"), F.lit(0.0).alias("adds"))
     rare = rare.unionAll(values.where("not hot").select("key", F.lit(0.0).alias("value"), F.lit(0).cast("long").alias("is_known"), F.col("value").alias("adds")))
     rare = rare.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("value", "is_known", "adds")))
-    more = part.select("row", F.explode("rest").alias("key")).join(rare.hint("merge"), "key").groupBy("row").agg(F.sum("value").alias("value"), F.sum("is_known").alias("more"), F.sum("adds").alias("adds"))
-    base = F.col("part") + F.coalesce("value", F.lit(0.0))
-    return part.drop("rest").join(more, "row", "left").select(
-        "doc_id", held.alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0)) + int(n_train > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        base.alias("base_score"), (base + F.col("gain") + F.coalesce("adds", F.lit(0.0))).alias("score"),
+    # each text is one entry without a key, which holds its own sums, and one entry a hash; all go through one join and one sum
+    entry = part.select("*", F.explode(F.concat(F.array(F.lit(None).cast("long")), "rest")).alias("key"))
+    own = F.col("key").isNull()
+    entry = entry.select("row", own.alias("own"), F.coalesce("key", F.xxhash64("row")).alias("key"), *(F.when(own, F.col(c)).alias(c) for c in ("doc_id", "n_tokens", "gain", "known", "part")))
+    rare = rare.withColumnRenamed("key", "rare_key").hint("merge")
+    sums = entry.join(rare, (F.col("key") == F.col("rare_key")) & ~F.col("own"), "left").groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(F.coalesce("part", "value", F.lit(0.0))).alias("base"),
+        F.sum(F.coalesce("known", "is_known", F.lit(0))).alias("known"), F.sum(F.coalesce("gain", "adds", F.lit(0.0))).alias("gain"),
+    )
+    return sums.select(
+        "doc_id", held.alias("held_out"), "n_tokens", (F.col("known") + int(n_train > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"), (F.col("base") + F.col("gain")).alias("score"),
     )
