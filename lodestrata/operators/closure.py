@@ -7,10 +7,11 @@ the others do, so that no task holds an unbounded graph.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,9 @@ MATRIX_NODES = 2_000
 BATCH_PAIRS = 200_000
 #: Parts of a growing relation that are kept apart before they are written as one.
 PARTS = 8
-#: Folders that ``settle`` wrote.
+#: Folders that ``settle`` wrote, and the names of those that are tables.
 SETTLED: list[str] = []
+TABLES: dict[str, str] = {}
 
 
 def shared_folder(df: DataFrame) -> str:
@@ -49,10 +51,31 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(spark) -> None:
-    """Deletes all that ``settle`` wrote; what reads it must be done."""
+def settle_dealt(frames: Iterable[DataFrame], parts: int, dealt: bool = False) -> DataFrame:
+    """As ``settle``, of the rows of all frames, which stay dealt by p, so that what goes by program needn't move them again.
+    Frames that are ``dealt`` so already are written as they lie. Shuffle files of what was written can go then: Spark
+    deletes them once the driver's garbage collectors have seen that nothing refers to them."""
+    path = None
+    for df in frames:
+        session = df.sparkSession
+        if path is None:
+            path = f"{shared_folder(df)}/lodestrata/settled-{uuid.uuid4().hex}"
+            TABLES[path] = f"lodestrata_{uuid.uuid4().hex}"
+            SETTLED.append(path)
+        rows = df if dealt else df.repartition(parts, "p")
+        rows.write.mode("append").bucketBy(parts, "p").format("parquet").option("path", path).saveAsTable(TABLES[path])
+    del df, rows
+    gc.collect()
+    session.sparkContext._jvm.System.gc()
+    return session.table(TABLES[path])
+
+
+def forget(spark, count: int | None = None) -> None:
+    """Deletes all that ``settle`` wrote, or the last ``count``; what reads it must be done."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while SETTLED:
+    for _ in range(len(SETTLED) if count is None else count):
+        if SETTLED[-1] in TABLES:
+            spark.sql(f"DROP TABLE IF EXISTS {TABLES.pop(SETTLED[-1])}")
         path = jvm.org.apache.hadoop.fs.Path(SETTLED.pop())
         path.getFileSystem(conf).delete(path, True)
 

@@ -257,11 +257,11 @@ DOC_SQL = {
 # ---- reports
 
 
-def _finding_queries(listed: Callable) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def _finding_queries(listed: Callable, first: Callable) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "finding_facts": lambda spark, sf_dir: findings.finding_facts(listed(spark, sf_dir)),
-        "finding_rules": lambda spark, sf_dir: findings.sarif_rules(listed(spark, sf_dir)),
-        "finding_first": lambda spark, sf_dir: findings.first_per_label(listed(spark, sf_dir)).select("p", "label", F.array_join("fields", "|").alias("fields")),
+        "finding_rules": lambda spark, sf_dir: first(spark, sf_dir).select("p", "label", findings.level().alias("level"), F.col("n").alias("n_results")),
+        "finding_first": lambda spark, sf_dir: first(spark, sf_dir).select("p", "label", F.array_join("fields", "|").alias("fields")),
     }
 
 
@@ -275,9 +275,9 @@ def _finding_sql(clause: Callable) -> dict[str, str]:
     }
 
 
-def queries(relation: Callable, findings_of: Callable, audit: Callable) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries(relation: Callable, findings_of: Callable, first_findings_of: Callable, audit: Callable) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {f.__name__: f for f in (fact_classes, fact_issues, fact_support, align_best, align_metrics, doc_inventory, doc_hash, doc_map, doc_units)}
-    return {n: _program(n, relation) for n in PROGRAMS} | own | _finding_queries(findings_of) | {"audit_codes": lambda spark, sf_dir: audit_codes(spark, sf_dir, audit)}
+    return {n: _program(n, relation) for n in PROGRAMS} | own | _finding_queries(findings_of, first_findings_of) | {"audit_codes": lambda spark, sf_dir: audit_codes(spark, sf_dir, audit)}
 
 
 def oracle_sql(clause: Callable) -> dict[str, str]:

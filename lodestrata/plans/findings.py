@@ -24,9 +24,9 @@ def _listed() -> Window:
 
 
 def finding_facts(found: DataFrame, relation: str = "finding") -> DataFrame:
-    """(p, nth, line): numbered facts of a program's findings."""
+    """(p, nth, line): numbered facts of a program's findings; numbers in a column ``nth`` are taken as they are."""
     quoted = F.transform("fields", lambda x: F.concat(F.lit(', "'), F.regexp_replace(F.regexp_replace(x, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"')))
-    nth = F.row_number().over(_listed()) - 1
+    nth = F.col("nth") if "nth" in found.columns else F.row_number().over(_listed()) - 1
     return found.select("p", nth.cast("long").alias("nth"), "label", quoted.alias("quoted")).select("p", "nth", F.concat(F.lit(f'{relation}("f'), F.col("nth").cast("string"), F.lit('", "'), "label", F.lit('"'), F.array_join("quoted", ""), F.lit(").")).alias("line"))
 
 
