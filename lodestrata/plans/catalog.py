@@ -19,7 +19,7 @@ from lodestrata.operators.closure import reachable, settle, settle_dealt, transi
 from lodestrata.plans.relations import _SECRET_NAMES, APART, BLOCKS, CLOSURES, DERIVED, FIELDS, REACH
 from lodestrata.plans import extras
 from lodestrata.sources.fact_text import relation_tables
-from lodestrata.sources.table_facts import FACTS
+from lodestrata.sources.table_facts import FACTS, ITEM_BITS, ITEM_FACTS, ORDER_FACTS
 
 TABLES = ("orders", "lineitem")
 #: Read by several relations of one query, so written once.
@@ -54,8 +54,8 @@ def order(name: str, sql: dict[str, str] = SQL) -> list[str]:
 
 #: Relations whose rows outnumber all facts: they are made program by program.
 WHOLE = ("findings_all", "label_summary", f"label_{program_findings.OVERREACH}")
-#: What tables dealt by p are made of, and the orders that one part of them holds about.
-DEALT, PART_ORDERS = ("orders_", "customers_", "items_"), 50_000
+#: Orders that one part of a table dealt by p holds about.
+PART_ORDERS = 50_000
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,16 +81,15 @@ def first_findings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dealt(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
-    """The driver tables, all their facts dealt by p, and how many each program has."""
+    """The driver tables, all orders with their items dealt by p, and how many facts each program has at most."""
     tables = _driver_tables(spark, sf_dir)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tables["orders"].count() // PART_ORDERS))
-    given = dict(tables)
-    for x in DEALT:
-        given[x] = settle_dealt([_build(spark, x, given, [x])], parts)
-    steps = list(dict.fromkeys(y for x in program_findings.READ for y in order(x) if y not in given))
-    facts = settle_dealt(program_findings.rows_of(_relations(spark, given, steps, set())), parts, dealt=True)
-    sizes = facts.groupBy("p").agg(F.count("*").alias("n"))
-    return tables, facts, sizes
+    steps = {"orders_": FACTS["orders_"], "bits": ITEM_BITS}
+    made = {x: spark.sql(re.sub(r"FROM (orders|lineitem)\b", r"FROM {\1}", sql), **tables) for x, sql in steps.items()}
+    rows = made["orders_"].where("p is not null").join(made["bits"], F.col("ok") == F.col("item_of"), "left").select("p", "cust", "ok", "nx", "pv", "items")
+    orders = settle_dealt(rows, parts)
+    size = F.lit(ORDER_FACTS) + ITEM_FACTS * F.coalesce(F.bit_count("items"), F.lit(0))
+    return tables, orders, orders.groupBy("p").agg(F.sum(size).alias("n"))
 
 
 def _whole(spark: SparkSession, name: str, given: dict[str, DataFrame], facts: DataFrame, sizes: DataFrame) -> DataFrame:
