@@ -11,7 +11,7 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,17 +51,21 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def settle_dealt(df: DataFrame, parts: int) -> DataFrame:
-    """As ``settle``; rows stay dealt by p, so that what goes by program needn't move them again. Shuffle files of what was
-    written can go then: Spark deletes them once the driver's garbage collectors have seen that nothing refers to them."""
-    session = df.sparkSession
-    path = f"{shared_folder(df)}/lodestrata/settled-{uuid.uuid4().hex}"
-    TABLES[path] = f"lodestrata_{uuid.uuid4().hex}"
-    SETTLED.append(path)
-    df.repartition(parts, "p").write.bucketBy(parts, "p").format("parquet").option("path", path).saveAsTable(TABLES[path])
-    del df
-    gc.collect()
-    session.sparkContext._jvm.System.gc()
+def settle_dealt(rounds: Iterable[DataFrame], parts: int) -> DataFrame:
+    """As ``settle``, of one round of rows after the other; rows stay dealt by p, so that what goes by program needn't move
+    them again. Shuffle files of a round that was written can go before the next: Spark deletes them once the driver's
+    garbage collectors have seen that nothing refers to them."""
+    path = None
+    for df in rounds:
+        session = df.sparkSession
+        if path is None:
+            path = f"{shared_folder(df)}/lodestrata/settled-{uuid.uuid4().hex}"
+            TABLES[path] = f"lodestrata_{uuid.uuid4().hex}"
+            SETTLED.append(path)
+        df.repartition(parts, "p").write.mode("append").bucketBy(parts, "p").format("parquet").option("path", path).saveAsTable(TABLES[path])
+        del df
+        gc.collect()
+        session.sparkContext._jvm.System.gc()
     return session.table(TABLES[path])
 
 

@@ -54,8 +54,8 @@ def order(name: str, sql: dict[str, str] = SQL) -> list[str]:
 
 #: Relations whose rows outnumber all facts: they are made program by program.
 WHOLE = ("findings_all", "label_summary", f"label_{program_findings.OVERREACH}")
-#: Orders that one part of a table dealt by p holds about.
-PART_ORDERS = 50_000
+#: Orders that one part of a table dealt by p holds about, and those that are joined to their items at once.
+PART_ORDERS, ROUND_ORDERS = 50_000, 1_500_000
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,13 +81,23 @@ def first_findings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dealt(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
-    """The driver tables, all orders with their items dealt by p, and how many facts each program has at most."""
+    """The driver tables, all orders with their items dealt by p, and how many facts each program has at most.
+
+    Orders are joined to their items by rounds of order keys, as many as keep a round's shuffle files to those of
+    ``ROUND_ORDERS``; what comes before and after an order is seen once a program's orders are together."""
     tables = _driver_tables(spark, sf_dir)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tables["orders"].count() // PART_ORDERS))
-    steps = {"orders_": FACTS["orders_"], "bits": ITEM_BITS}
-    made = {x: spark.sql(re.sub(r"FROM (orders|lineitem)\b", r"FROM {\1}", sql), **tables) for x, sql in steps.items()}
-    rows = made["orders_"].where("p is not null").join(made["bits"], F.col("ok") == F.col("item_of"), "left").select("p", "cust", "ok", "nx", "pv", "items")
-    orders = settle_dealt(rows, parts)
+    n_orders = tables["orders"].count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_orders // PART_ORDERS))
+    rounds = max(1, -(-n_orders // ROUND_ORDERS))
+
+    def joined(i: int) -> DataFrame:
+        mine = lambda table, key: tables[table].where(F.pmod(F.hash(F.col(key).cast("long")), F.lit(rounds)) == i) if rounds > 1 else tables[table]
+        bits = spark.sql(ITEM_BITS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=mine("lineitem", "l_orderkey"))
+        orders = mine("orders", "o_orderkey").where("o_custkey is not null").selectExpr("o_custkey as cust", "o_orderkey as ok", "o_orderdate as at")
+        return orders.join(bits, F.col("ok") == F.col("item_of"), "left").select(F.expr("cast(floor(cust / 5) as bigint) as p"), "cust", "ok", "at", "items")
+
+    own = "over (partition by p, cust order by at, ok)"  # as orders_ has it; p follows from cust
+    orders = settle_dealt(map(joined, range(rounds)), parts).selectExpr("p", "cust", "ok", f"lead(ok) {own} as nx", f"lag(ok) {own} as pv", "items")
     size = F.lit(ORDER_FACTS) + ITEM_FACTS * F.coalesce(F.bit_count("items"), F.lit(0))
     return tables, orders, orders.groupBy("p").agg(F.sum(size).alias("n"))
 
