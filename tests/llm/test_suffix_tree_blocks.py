@@ -65,3 +65,24 @@ def test_a_run_takes_a_few_bytes():
     heads = np.arange(0, 15000, 5)
     block = lm._packed([np.diff(contexts[heads], prepend=np.uint64(0)), np.full(3000, 5), rng.integers(1, 20_000, 15000), np.zeros(0), np.ones(15000)])
     assert len(block) < 8 * 15000
+
+
+def test_texts_are_scored_by_rounds(spark, monkeypatch):
+    """Also rows without id or text and repeated ones: each is scored once, as in one round; what a round doesn't read is gone."""
+    rows = [(i, t) for i, t in enumerate(texts(3))] + [(None, "w1 w2 w3 w4"), (5, None), (7, ""), (9, "w1 w2"), (9, "w1 w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sort = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in df.collect())
+    whole = sort(lm.scored(spark, docs, min_share=0.02))
+    rounds, write = [], lm._by_rounds
+
+    def counted(session, frames, name):
+        frames = list(frames)
+        rounds.extend(df.count() for df in frames if name == "scores")
+        return write(session, iter(frames), name)
+
+    monkeypatch.setattr(lm, "_by_rounds", counted)
+    monkeypatch.setattr(lm, "TEXT_TOKENS", 700)
+    before = len(lm.made())
+    assert sort(lm.scored(spark, docs, min_share=0.02)) == whole
+    assert len(rounds) > 2 and sum(rounds) == len(rows) and max(rounds) < len(rows)
+    assert len(lm.made()[before:]) == 2
