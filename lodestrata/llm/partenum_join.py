@@ -242,27 +242,37 @@ def _blocks(spark: SparkSession, members: DataFrame, side: DataFrame, percent: i
 def _late_links(spark: SparkSession, docs: DataFrame, open_: DataFrame, facts: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): components that links between members of open buckets join.
 
-    Members that share buckets form a cluster. A cluster is laid out in blocks of
-    bounded size, by component; each two blocks that hold more than one component
-    and whose sizes are near enough are compared in one task as a whole, so what
-    moves grows with members times blocks, and only links come out. That is done
-    with parities first, then with the elements of the members they leave.
+    Only sets that share a bucket can link, so the buckets of one smallest open member
+    (a cluster) are compared for themselves: buckets chain into one another by chance, and
+    what they chain into takes in ever more of all sets as these grow in number. A
+    cluster is laid out in blocks of bounded size, by component; each two blocks that
+    hold more than one component and whose sizes are near enough are compared in one
+    task as a whole, so what moves grows with members times blocks, and only links come
+    out. That is done with parities first, then with the elements of the members they
+    leave; clusters that are left the same members are one.
     """
-    cluster = components(spark, open_.select(F.col("c").alias("a"), F.col("h").alias("b"))).toDF("h", "cluster")
-    members = settle(spark, open_.select("h", "root").distinct().join(cluster, "h").join(facts.select("h", "n"), "h").select("cluster", "h", "root", "n"))
+    members = settle(spark, open_.join(facts.select("h", "n"), "h").select("cluster", "h", "root", "n"))
     work = _blocks(spark, members, facts.select("h", "par"), percent, PARITY_SETS, PARITY_ITEMS).select("cluster", "i", "j", "h", "root", "n", "par")
-    close = stash(spark, work.groupBy("cluster", "i", "j").applyInArrow(_block_close(percent), "h long").distinct(), "close")
+    close = stash(spark, work.groupBy("cluster", "i", "j").applyInArrow(_block_close(percent), "cluster long, h long").distinct(), "close")
     if close.isEmpty():
         return empty(spark, "a long, b long")
-    sets = stash(spark, _fetched(docs, facts, close, width).select("h", "items"), "late-sets")
+    sets = stash(spark, _fetched(docs, facts, close.select("h"), width).select("h", "items"), "late-sets")
     release(spark)
-    work = _blocks(spark, members.join(close, "h").select("cluster", "h", "root", "n"), sets, percent).select("cluster", "i", "j", "h", "root", "items")
+    left = _merged_clusters(members.join(close, ["cluster", "h"]))
+    work = _blocks(spark, left, sets, percent).select("cluster", "i", "j", "h", "root", "items")
     return work.groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "a long, b long").distinct()
 
 
+def _merged_clusters(members: DataFrame) -> DataFrame:
+    """members(cluster, h, root, n), clusters of equal members as one. They are told apart by 64 bits; two of one number
+    are compared together, which loses no link."""
+    same = F.expr("xxhash64(bit_xor(xxhash64(h)) over (partition by cluster), bit_xor(xxhash64(h, 1)) over (partition by cluster), count(*) over (partition by cluster))")
+    return members.select(same.alias("cluster"), "h", "root", "n").distinct()
+
+
 def _block_close(percent: int):
-    """The members that parities leave a partner of another component."""
-    schema = pa.schema([("h", pa.int64())])
+    """The members that parities leave a partner of another component in their cluster."""
+    schema = pa.schema([("cluster", pa.int64()), ("h", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
         h, root, n = (np.array(group.column(c).to_pylist(), dtype=np.int64) for c in ("h", "root", "n"))
@@ -281,7 +291,7 @@ def _block_close(percent: int):
                     if ok.any():
                         found[i] = True
                         found[to[ok]] = True
-        return pa.Table.from_arrays([pa.array(h[found], pa.int64())], schema=schema)
+        return pa.Table.from_arrays([group.column("cluster").combine_chunks().filter(pa.array(found)), pa.array(h[found], pa.int64())], schema=schema)
 
     return run
 
@@ -346,8 +356,8 @@ def _grouped(spark: SparkSession, docs: DataFrame, width: int, percent: int) ->
     root = components(spark, links)
     # each member has been compared with its bucket's smallest, so what is open is between the others
     placed = shared.where("h != c").join(root.withColumnRenamed("node", "h"), "h", "left").select("sig", "h", F.coalesce("root", "h").alias("root"))
-    over = placed.withColumn("least", F.expr("min(root) over (partition by sig)")).withColumn("most", F.expr("max(root) over (partition by sig)")).withColumn("c", F.expr("min(h) over (partition by sig)"))
-    open_ = stash(spark, over.where("least < most").select("h", "c", "root").distinct(), "open")
+    over = placed.withColumn("least", F.expr("min(root) over (partition by sig)")).withColumn("most", F.expr("max(root) over (partition by sig)")).withColumn("cluster", F.expr("min(h) over (partition by sig)"))
+    open_ = stash(spark, over.where("least < most").select("cluster", "h", "root").distinct(), "open")
     late = stash(spark, _late_links(spark, docs, open_, facts, width, percent), "late")
     if not late.isEmpty():
         nodes = root.select("root").union(late.select("a")).union(late.select("b")).distinct()
