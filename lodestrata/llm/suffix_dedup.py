@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import HOT, STEP_BYTES, batch_of, drop_stashes, in_arrow, made, release, stash, steps, text_key
+from lodestrata.llm.common import HOT, batch_of, drop_stashes, in_arrow, made, release, stash, steps, text_key
 from lodestrata.llm.hashing import _BYTE, _P, _P_INV, _power, mix
 from lodestrata.llm.loser_tree import front_coded, merged_front_coded
 
@@ -63,8 +63,8 @@ MAX_RANGES, SAMPLES = 4096, 48
 #: What a task holds before it sends a run.
 RUN_ANCHORS = 900_000
 RUN_SUFFIXES = 120_000
-#: Bytes of a text that are worked on at once.
-LONG = 2 << 20
+#: Bytes of texts, and of one long text, that are worked on at once; a task holds about a hundred times as much meanwhile.
+STEP_BYTES = LONG = 512 << 10
 _NO_ID = 2**63 - 1
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _NOTHING = hashlib.sha256(b"").hexdigest()
@@ -116,8 +116,11 @@ def _anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return own, at - (ends - lengths)[own], h[at]
 
 
-def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+def _dealt(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of n, rest) of the hashes of anchors. These are the least of their windows, so most of them are small: they are mixed
+    again, else the first bucket has most of all, or thirty times its share."""
+    h = mix(h)
+    return ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
 def _keys(joined: bytes) -> np.ndarray:
@@ -146,11 +149,10 @@ def _send_hashes(n_buckets: int):
 
         def send() -> pa.RecordBatch:
             h, owner = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.argsort(h, kind="stable")
-            h, owner = h[order], owner[order]
-            edges = np.searchsorted(_bucket(h, n_buckets), np.arange(n_buckets + 1))
-            low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            # within a bucket the order is by the whole hash; the reducer sorts by what is sent
+            bucket, low = _dealt(h, n_buckets)
+            order = np.argsort(bucket, kind="stable")
+            bucket, low, owner = bucket[order], low[order], owner[order]
+            edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
             table = _keys(b"".join(keys))
             rows = []
             for b in range(n_buckets):
@@ -163,7 +165,7 @@ def _send_hashes(n_buckets: int):
             keys.clear()
             return batch_of(schema, [list(c) for c in zip(*rows, strict=True)])
 
-        for ids, texts in steps(batches):
+        for ids, texts in steps(batches, STEP_BYTES):
             fresh = [i for i, t in enumerate(ids) if t not in seen and not seen.add(t)]
             own, _, h = anchors([texts[i] for i in fresh])
             held.append((h, own + len(keys)))
@@ -243,7 +245,8 @@ def _survivors(n_homes: int):
 def _shared_anchors(texts: list[bytes], items: list[bytes], n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, place, hash) of the anchors whose hash survived for their text."""
     own, at, h = anchors(texts)
-    short = (h & np.uint64(0xFFFFFFFF)) | (_bucket(h, n_buckets) << np.uint64(32))
+    bucket, low = _dealt(h, n_buckets)
+    short = low | (bucket << np.uint64(32))
     of_text = lambda n: n.astype(np.uint64) * np.uint64(_P)
     wanted = mix(np.frombuffer(b"".join(items), np.uint64)) + of_text(np.repeat(np.arange(len(items)), [len(x) // 8 for x in items]))
     alive = np.isin(mix(short) + of_text(own), wanted)  # by hash: one anchor too many is one suffix too many
